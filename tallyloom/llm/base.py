@@ -120,3 +120,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels
+
+
+def byte_words(text: str | None) -> list[bytes]:
+    """The words of a text with A-Z lower-cased, as UTF-8; bytes.split() parts at the six characters that SPACE names."""
+    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` over Arrow batches of ``df``; fn takes an iterator of record batches and yields others."""
+    return df.mapInArrow(fn, schema)

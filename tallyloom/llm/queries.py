@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "quality_rules")
+MODULES = ("url_filter", "hyper_lang", "simhash", "quality_rules")
 
 
 def _all(name: str) -> dict:
