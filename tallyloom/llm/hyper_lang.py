@@ -119,12 +119,13 @@ def learn(docs: DataFrame, profile: Profile = Profile()) -> dict[str, np.ndarray
     return dict(sorted(out.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], profile: Profile = Profile()) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row: the prototype of the highest cosine (the first by name at a tie) and that cosine, at least 0.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], profile: Profile = Profile(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` with lang_pred and score for every row of ``docs``: the prototype of the highest cosine (the first by name at a tie) and that cosine, at least 0.
 
     ``und`` with score 0 for null, for a text without a letter, or if no language was learned.
     """
     names = list(prototypes)
+    fields = [docs.schema[c] for c in keep]
     matrix = np.stack([prototypes[n] for n in names], 1) if names else np.zeros((profile.dims, 0), np.float32)
 
     def run(batches):
@@ -132,7 +133,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], profile: Profile
 
         for batch in batches:
             labels, scores = [], []
-            for _, n, distinct, owner, place, counts in _counted(batch.column(1).to_pylist(), profile):
+            for _, n, distinct, owner, place, counts in _counted(batch.column(len(fields)).to_pylist(), profile):
                 vectors = gram_vectors(distinct, profile).astype(np.float32)
                 dense = np.zeros((n, max(len(distinct), 1)), np.float32)
                 dense[owner, place] = counts
@@ -142,9 +143,10 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], profile: Profile
                     best = int(np.argmax(cosines[k])) if names and some else -1
                     labels.append(names[best] if best >= 0 else "und")
                     scores.append(float(min(max(cosines[k, best], 0.0), 1.0)) if best >= 0 else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
+    return map_batches(docs.select(*keep, F.col("text").alias("text__")), run, schema)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, UPPER, discard, materialize, table, word_count, words
+from .base import SPACE, UPPER, materialize, table, words
 
 #: Ratios a condition may test, as SQL over the statistics.
 FEATURES = {
@@ -35,10 +35,6 @@ class Learning:
     least: int = 5
 
 
-def _chars(text: Column) -> Column:
-    return F.length(text)
-
-
 def _counted(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
@@ -56,7 +52,7 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         *keep,
         words(F.col("t__")).alias("w__"),
         lines.alias("l__"),
-        _chars(F.regexp_replace("t__", SPACE, "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("t__", SPACE, "")).cast("long").alias("word_chars"),
         _counted(F.col("t__"), SYMBOLS).alias("n_symbols"),
         _counted(F.col("t__"), "!").alias("n_bangs"),
         _counted(F.col("t__"), UPPER).alias("n_upper"),
@@ -151,7 +147,9 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, learning: Learning) ->
     """At most ``learning.sample`` labelled rows that pass the base rules, ordered by hash; ids with two opinions take the lower quality."""
     told = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = stats.where(~F.col("base_failed")).join(told, "doc_id").select(F.xxhash64("doc_id").alias("o"), "doc_id", "quality", *[F.expr(e).alias(n) for n, e in FEATURES.items()])
-    got = rows.orderBy("o", "doc_id").limit(learning.sample).collect()
+    rows = materialize(rows, "labelled")
+    part = min(1.0, 1.1 * learning.sample / max(1, rows.count()))  # so that a task sends its share, not a whole sample
+    got = rows.where(F.col("o") <= min((1 << 63) - 1, int(-(1 << 63) + part * (1 << 64)))).orderBy("o", "doc_id").limit(learning.sample).collect()
     return {n: np.array([r[n] for r in got], float) for n in FEATURES}, np.array([r["quality"] == 0 for r in got], bool)
 
 

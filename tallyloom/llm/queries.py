@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("url_filter", "hyper_lang", "simhash", "quality_rules")
+MODULES = ("url_filter", "decontaminate", "mixing", "hyper_lang", "context_tree", "line_dedup", "token_counts", "simhash", "quality_rules", "licences")
 
 
 def _all(name: str) -> dict:
