@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Cells that hold no number.
 NOT_NUMBERS = ("", "-", "--", "—", "–", "n/a", "na", "none", "null", "nan")
-CURRENCY = r"(?i)\b(vnd|vnđ|đồng|dong|usd|eur)\b|₫|\$"
+CURRENCY = r"(?iu)(?<![\p{L}\d])(vnd|vnđ|đồng|dong|usd|eur)(?![\p{L}\d])|₫|\$"
 
 
 def _one_separator(raw: Column, sep: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _common(a: str, b: str) -> int:
@@ -70,7 +71,7 @@ def weighted_ratio(a: str, b: str) -> float:
 
 
 def _column(fn):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict[tuple[str, str], float] = {}
         out = []
@@ -86,7 +87,7 @@ def _column(fn):
 ratio_column, partial_column, token_set_column, weighted_column = map(_column, (ratio, partial_ratio, token_set_ratio, weighted_ratio))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """0.55 weighted and 0.45 token-set ratio, of 1; 1 if both are blank, 0 if one is."""
     each = (1.0 if not x and not y else 0.0 if not x or not y else (0.55 * weighted_ratio(x, y) + 0.45 * token_set_ratio(x, y)) / 100 for x, y in zip(a.fillna(""), b.fillna("")))

@@ -305,10 +305,10 @@ def price_db_stats(spark, sf_dir):
     return read(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_size") > 10).alias("with_vector"), F.min("p_size").alias("first_year"), F.max("p_size").alias("last_year"), F.count_distinct("p_brand").alias("projects"))
 
 
-@query("SELECT l_partkey, round(min(l_extendedprice / l_quantity) * 0.95, 4) AS low, round(max(l_extendedprice / l_quantity) * 1.05, 4) AS high, CASE WHEN count(*) > 0 THEN 0.8 ELSE 0.0 END AS confidence FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey, round(min(l_extendedprice / l_quantity) * 0.95, 8) AS low, round(max(l_extendedprice / l_quantity) * 1.05, 8) AS high, CASE WHEN count(*) > 0 THEN 0.8 ELSE 0.0 END AS confidence FROM lineitem GROUP BY 1")
 def price_band_deterministic(spark, sf_dir):
     p = F.col("l_extendedprice") / F.col("l_quantity")
-    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(F.min(p) * 0.95, 4).alias("low"), F.round(F.max(p) * 1.05, 4).alias("high"), F.lit(0.8).alias("confidence"))
+    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(F.min(p) * 0.95, 8).alias("low"), F.round(F.max(p) * 1.05, 8).alias("high"), F.lit(0.8).alias("confidence"))
 
 
 @query(f"""WITH {OFFERS}, g AS (SELECT l_partkey, list_sort(list(offer)) AS v FROM offers GROUP BY 1) SELECT l_partkey, round(v[len(v) // 2 + 1], 8) AS upper_mid, CASE WHEN v[len(v)] / v[len(v) // 2 + 1] > 1.01 THEN 'needs_review' ELSE 'validated' END AS status FROM g""")
