@@ -65,6 +65,8 @@ def grams(codes: np.ndarray, n: int) -> np.ndarray:
 def gram_vectors(packed: np.ndarray, profile: Profile) -> np.ndarray:
     """One row a gram: the product of its letters' vectors, each rotated by its place."""
     n = profile.gram
+    if not len(packed):
+        return np.zeros((0, profile.dims), np.int8)
     rows = np.ones((len(packed), profile.dims), np.int8)
     for k in range(n):
         codes, at = np.unique((packed >> (21 * (n - 1 - k))) & 0x1FFFFF, return_inverse=True)
