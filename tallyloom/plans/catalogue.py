@@ -99,12 +99,12 @@ def normalize_code_parts(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.normalize_code(F.col("p_brand")).alias("code"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey % 50, l_linenumber, l_orderkey) AS place FROM lineitem WHERE l_orderkey <= 2000""")
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey % 50, l_linenumber, l_orderkey) AS place FROM lineitem""")
 def natural_ordinal_sort(spark, sf_dir):
-    """The report of the first 2,000 orders in natural order of their ordinals."""
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    """The lines of each supplier's report in natural order of their ordinals."""
     ordinal = F.concat_ws(".", (F.col("l_orderkey") % 50).cast("string"), F.col("l_linenumber").cast("string"))
-    return lines.select("l_orderkey", "l_linenumber", F.row_number().over(Window.orderBy(text.ordinal_key(ordinal), "l_orderkey")).alias("place"))
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(text.ordinal_key(ordinal), "l_orderkey"))
+    return read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", place.alias("place"))
 
 
 @query(f"""SELECT p_partkey, left(n, 40) || '::' || left(c, 60) || '::' || left(t, 80) || '::' || p_partkey AS canonical_id FROM
@@ -278,14 +278,14 @@ def split_brand_bidder(spark, sf_dir):
     return both.select("p_partkey", F.when(hit, F.trim(F.regexp_replace("brand", r"\(([^)]*)\)", ""))).otherwise(F.col("brand")).alias("brand_only"), F.when(hit, F.col("inside")).otherwise("").alias("bidder"))
 
 
-@query("""WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT q_id, vec_id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS cosine FROM q CROSS JOIN embeddings)
+@query("""WITH q AS (SELECT vec_id AS q_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q_id, vec_id, round(list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS cosine FROM q CROSS JOIN embeddings)
 SELECT q_id, vec_id, cosine, place FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY cosine DESC, vec_id) AS place FROM s) WHERE place <= 10""")
 def vector_topk(spark, sf_dir):
-    """The ten nearest of all vectors for each of twenty queries (the query set, sent to all tasks)."""
+    """The ten nearest of all vectors for every query, the vectors whose id is divisible by 50."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm")).where("norm > 0")
-    q = vectors.where("vec_id < 20").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    scored = vectors.join(F.broadcast(q)).select("q_id", "vec_id", F.round(dot("q", "embedding") / (F.col("qn") * F.col("norm")), 6).alias("cosine"))
+    q = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
+    scored = vectors.crossJoin(q).select("q_id", "vec_id", F.round(dot("q", "embedding") / (F.col("qn") * F.col("norm")), 6).alias("cosine"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("cosine"), "vec_id"))).where("place <= 10")
 
 
@@ -410,11 +410,10 @@ def normalize_units(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", text.normalize_unit(F.col("n_name")).alias("unit"))
 
 
-@query("""WITH RECURSIVE n AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_orderkey <= 200 AND l_quantity >= 40)
-SELECT a, b FROM n""")
+@query("SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity >= 40")
 def peer_edges(spark, sf_dir):
-    """Links of items and offers above the score threshold, in the first 200 orders."""
-    return read(spark, sf_dir, "lineitem").where("l_orderkey <= 200 and l_quantity >= 40").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    """Links of orders and items above the quantity threshold."""
+    return read(spark, sf_dir, "lineitem").where("l_quantity >= 40").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
 
 
 @query()
