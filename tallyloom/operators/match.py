@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to ``spark.checkpoint.dir``; a local folder stands in only where that is unset (tests)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tallyloom-"))
+
+
 def assign_one_to_one(pairs: DataFrame, left: str, right: str, order: Sequence[Column], rounds: int = 30) -> DataFrame:
     """The greedy assignment by ``order`` (best first, without ties): each round keeps the pairs that are first for both ends.
 
@@ -15,11 +24,7 @@ def assign_one_to_one(pairs: DataFrame, left: str, right: str, order: Sequence[C
     least the first pair of every connected group and drops the pairs of
     settled rows, so the rounds are few; lineage is cut by checkpoint().
     """
-    if pairs.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        found = pairs.sparkSession.conf.get("spark.checkpoint.dir", None)
-        pairs.sparkSession.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tallyloom-"))
+    keep_checkpoints(pairs.sparkSession)
     open_, done = pairs, None
     for _ in range(rounds):
         best = open_.withColumn("l__", F.row_number().over(Window.partitionBy(left).orderBy(*order))).withColumn("r__", F.row_number().over(Window.partitionBy(right).orderBy(*order)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import compare, match, peer
+from ..operators import clusters, compare, match, peer
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -428,3 +428,15 @@ def tfidf_knn(spark, sf_dir):
     """The eight nearest benchmark items of every benchmark item by character TF-IDF."""
     items = read(spark, sf_dir, "benchmark")
     return match.tfidf_neighbours(items, items, "item_id", "item_id", "text").select("a_id", "b_id", F.round("cosine", 6).alias("cosine"), "place")
+
+
+@query()
+def peer_clusters(spark, sf_dir):
+    """Parts of one brand and type in clusters, no size class twice in one, linked to the next three by price; the longest name stands for a cluster."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 5).alias("bidder"), "p_name", "p_brand", "p_type", "p_retailprice")
+    by_price = Window.partitionBy("p_brand", "p_type").orderBy("p_retailprice", "id")
+    ahead = parts.withColumns({f"n{k}": F.struct(F.lead("id", k).over(by_price).alias("b"), F.lead("p_retailprice", k).over(by_price).alias("price")) for k in (1, 2, 3)})
+    edges = ahead.select(F.col("id").alias("a"), "p_retailprice", F.explode(F.array("n1", "n2", "n3")).alias("n")).where("n.b is not null").select("a", "n.b", (-F.abs(F.col("n.price") - F.col("p_retailprice"))).alias("score"))
+    found = parts.join(clusters.constrained_clusters(parts, edges), "id")
+    heads = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("items"), F.max_by("id", F.struct(F.length("p_name"), -F.col("id"))).alias("representative"))
+    return found.join(heads, "cluster").select(F.col("id").alias("p_partkey"), "bidder", "cluster", "items", "representative")

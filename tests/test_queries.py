@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import compare, match
+from tallyloom.operators import clusters, compare, match
 from tallyloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -50,3 +50,39 @@ def test_thresholds(spark):
     rows = spark.createDataFrame([(100.0, 104.9), (100.0, 105.1), (100.0, 119.9), (100.0, 120.1), (100.0, None), (None, None)], "b double, v double")
     level = compare.numeric_difference(F.col("b"), F.col("v"), 0.05, 0.20)
     assert [r["x"] for r in rows.select(level.alias("x")).collect()] == [None, "WARNING", "WARNING", "CRITICAL", "REVIEW", None]
+
+
+def one_by_one(nodes, edges):
+    """The clusters by taking edge after edge."""
+    held = {i: {i} for i, _ in nodes}
+    bidder = dict(nodes)
+    best = {}
+    for a, b, s in edges:
+        if None not in (a, b, s) and a != b and a in held and b in held:
+            key = (min(a, b), max(a, b))
+            best[key] = max(s, best.get(key, s))
+    for (a, b), _ in sorted(best.items(), key=lambda e: (-e[1], e[0])):
+        x, y = held[a], held[b]
+        if x is not y and not {bidder[i] for i in x if bidder[i] is not None} & {bidder[i] for i in y if bidder[i] is not None}:
+            x |= y
+            for i in y:
+                held[i] = x
+    return {i: min(x) for i, x in held.items()}
+
+
+def test_constrained_clusters(spark):
+    draw = random.Random(11)
+    nodes = [(k, draw.choice((0, 1, 2, 3, None) if k % 9 == 0 else (0, 1, 2, 3))) for k in range(40)]
+    edges = [(draw.randrange(40), draw.randrange(40), draw.randrange(6) / 5) for _ in range(120)] + [(1, None, 1.0), (2, 3, None), (5, 5, 2.0), (6, 999, 3.0)]
+    n, e = spark.createDataFrame(nodes, "id long, bidder int"), spark.createDataFrame(edges, "a long, b long, score double")
+    got = {r["id"]: r["cluster"] for r in clusters.constrained_clusters(n, e).collect()}
+    assert got == one_by_one(nodes, edges)
+    assert {r["cluster"] for r in clusters.constrained_clusters(n, e.limit(0)).collect()} == set(range(40))
+    assert clusters.constrained_clusters(n.limit(0), e).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_peer_clusters(spark):
+    rows = catalogue.QUERIES["peer_clusters"](spark, DATA).collect()
+    assert len(rows) == len({r["p_partkey"] for r in rows}) == catalogue.read(spark, DATA, "part").count()
+    assert len({(r["cluster"], r["bidder"]) for r in rows}) == len(rows)
