@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import clusters, compare, match, peer
+from ..sources import html
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -440,3 +441,8 @@ def peer_clusters(spark, sf_dir):
     found = parts.join(clusters.constrained_clusters(parts, edges), "id")
     heads = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("items"), F.max_by("id", F.struct(F.length("p_name"), -F.col("id"))).alias("representative"))
     return found.join(heads, "cluster").select(F.col("id").alias("p_partkey"), "bidder", "cluster", "items", "representative")
+
+
+@query()
+def html_table_cells(spark, sf_dir):
+    return html.html_table_cells(read(spark, sf_dir, "pages"), "page_id", "html")
