@@ -10,11 +10,12 @@ from ..functions.numbers import percent_delta
 RANK = ("OK", "INFO", "REVIEW", "WARNING", "CRITICAL")
 
 
-def numeric_difference(base: Column, value: Column, warn: float, critical: float, warn_abs: float = 0.0, critical_abs: float = 0.0, one_sided: str = "REVIEW") -> Column:
-    """Severity of a number against its base, null where there is nothing to report."""
+def numeric_difference(base: Column, value: Column, warn: float, critical: float, warn_abs: float = 0.0, critical_abs: float = 0.0, one_sided: str = "REVIEW", ceiling: Column | None = None) -> Column:
+    """Severity of a number against its base, null where there is nothing to report; ``ceiling`` is the worst that a deviation may be."""
     pct, off = F.abs(percent_delta(base, value)), F.abs(value - base)
-    level = F.when((pct >= critical) & (off >= critical_abs), "CRITICAL").when((pct >= warn) & (off >= warn_abs), "WARNING")
-    zero = F.when(value != 0, "WARNING")
+    worst = F.lit("CRITICAL") if ceiling is None else ceiling
+    level = F.when((pct >= critical) & (off >= critical_abs), worst).when((pct >= warn) & (off >= warn_abs), "WARNING")
+    zero = F.when(value != 0, F.when((worst == "CRITICAL") & F.lit(critical_abs > 0) & (off >= critical_abs), "CRITICAL").otherwise("WARNING"))
     return F.when(base.isNull() & value.isNull(), None).when(base.isNull() | value.isNull(), one_sided).when(base == 0, zero).otherwise(level)
 
 

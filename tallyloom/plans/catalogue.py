@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import clusters, compare, match, peer
-from ..sources import html
+from ..operators import clusters, compare, match, peer, rules
+from ..sources import html, markdown
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -446,3 +446,27 @@ def peer_clusters(spark, sf_dir):
 @query()
 def html_table_cells(spark, sf_dir):
     return html.html_table_cells(read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_linenumber > 4 AS part_of, p_retailprice AS rp, l_extendedprice / l_quantity AS cp, CAST(p_size AS DOUBLE) AS rq, l_quantity AS cq FROM lineitem JOIN part ON p_partkey = l_partkey),
+d AS (SELECT *, abs((cp - rp) / rp) AS dp, abs((cq - rq) / rq) AS dq FROM p),
+f AS (SELECT l_orderkey, l_linenumber, CASE WHEN dp >= 0.25 AND abs(cp - rp) >= 100 THEN 4 WHEN dp >= 0.1 AND abs(cp - rp) >= 10 THEN 3 ELSE 0 END AS p, CASE WHEN dq >= 0.15 AND NOT part_of THEN 4 WHEN dq >= 0.05 THEN 3 ELSE 0 END AS q FROM d)
+SELECT l_orderkey, l_linenumber, CASE greatest(p, q) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'WARNING' ELSE 'OK' END AS severity, CAST(CASE p WHEN 4 THEN 35 WHEN 3 THEN 20 ELSE 0 END + CASE q WHEN 4 THEN 28 WHEN 3 THEN 15 ELSE 0 END AS DOUBLE) AS anomaly_score, CAST((p > 0)::INT + (q > 0)::INT AS INTEGER) AS n_findings FROM f""")
+def row_findings(spark, sf_dir):
+    """Parts as the reference, lines as offers; lines past the fourth are components, whose quantities are warned of at worst."""
+    kind = F.when(F.col("l_linenumber") > 4, "component").otherwise("detail")
+    r = F.struct(F.lit("detail").alias("row_type"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("quantity"))
+    c = F.struct(kind.alias("row_type"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"))
+    pairs = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "l_linenumber", r.alias("r"), c.alias("c"))
+    price = rules.Number("price", "price", "price", 0.10, 0.25, (20, 35), (10.0, 100.0))
+    quantity = rules.Number("quantity", "quantity", "quantity", 0.05, 0.15, (15, 28), cap="component")
+    found = pairs.withColumn("findings", F.array_compact(F.array(rules.number_finding(price), rules.number_finding(quantity))))
+    return rules.with_verdict(found).select("l_orderkey", "l_linenumber", "severity", "anomaly_score", F.size("findings").alias("n_findings"))
+
+
+@query("""SELECT o_orderkey, 1 AS table_number, r.k AS row_number, c.k AS column_number, CASE WHEN r.k = 1 AND c.k = 1 THEN 'key' WHEN r.k = 1 THEN 'status' WHEN c.k = 1 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderstatus END AS text FROM orders, (VALUES (1), (2)) r(k), (VALUES (1), (2)) c(k)""")
+def markdown_cells(spark, sf_dir):
+    """Orders written as small Markdown tables and read again."""
+    row = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.col("o_orderstatus"), F.lit(" |"))
+    body = F.concat(F.lit("note\n| key | status |\n|---|:-:|\n"), row, F.lit("\n\n| one row alone |\n"))
+    return markdown.markdown_table_cells(read(spark, sf_dir, "orders").select("o_orderkey", body.alias("body")), "o_orderkey", "body")
