@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import clusters, compare, match, peer, rules
+from ..operators import clusters, compare, consensus, match, peer, rules
 from ..sources import html, markdown
 
 QUERIES: dict = {}
@@ -470,3 +470,10 @@ def markdown_cells(spark, sf_dir):
     row = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.col("o_orderstatus"), F.lit(" |"))
     body = F.concat(F.lit("note\n| key | status |\n|---|:-:|\n"), row, F.lit("\n\n| one row alone |\n"))
     return markdown.markdown_table_cells(read(spark, sf_dir, "orders").select("o_orderkey", body.alias("body")), "o_orderkey", "body")
+
+
+@query()
+def peer_text_consensus(spark, sf_dir):
+    """Brands and types as items, their parts as bidders, the part's name as what is said."""
+    parts = read(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_type").alias("item"), "p_partkey", "p_name")
+    return consensus.text_consensus(parts, "item", "p_partkey", "p_name")
