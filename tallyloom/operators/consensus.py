@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.similarity import token_set_ratio, weighted_ratio
 from ..functions.text import normalize_name
 
 
+@lru_cache(maxsize=1 << 16)
 def _alike(a: str, b: str) -> float:
     if not a or not b:
         return float(a == b)
@@ -37,17 +40,19 @@ def text_consensus(offers: DataFrame, item: str, bidder: str, text: str, thresho
     filled = F.col("t__") != ""
     groups = texts.groupBy("i__").agg(F.sum("n").alias("offers"), F.count(F.when(filled, 1)).alias("texts"), F.max(~filled).alias("blank"))
     open_ = groups.where("offers >= 2 and texts >= 1 and (texts > 1 or blank)")
-    several = texts.where(filled).join(open_.where("texts > 1").select("i__"), "i__", "left_semi").withColumn("name", normalize_name(F.col("t__")))
+    several = texts.join(open_.where("texts > 1").select("i__"), "i__", "left_semi").withColumn("name", normalize_name(F.col("t__")))
     kind = offers.schema[item].dataType.simpleString()
 
     def judge(frame):
         frame = frame.sort_values(["first", "t__"])
-        count, closest = kinds_of(list(zip(frame["t__"], frame["name"])), threshold)
-        return frame[["i__", "t__"]].assign(kinds=count, closest=closest)
+        given = frame[frame["t__"] != ""]
+        count, closest = kinds_of(list(zip(given["t__"], given["name"])), threshold)
+        out = frame[["i__", "t__"]].assign(kinds=count, closest=0.0)
+        out.loc[given.index, "closest"] = closest
+        return out
 
     judged = several.groupBy("i__").applyInPandas(judge, f"i__ {kind}, t__ string, kinds int, closest double")
-    kinds = open_.join(judged.groupBy("i__").agg(F.max("kinds").alias("kinds")), "i__", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
-    split = kinds.where("kinds > 1 or blank").select("i__", "kinds")
-    out = said.join(split, "i__").join(judged.select("i__", "t__", "closest"), ["i__", "t__"], "left")
+    both = said.join(open_.select("i__", "blank"), "i__").join(judged, ["i__", "t__"], "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
+    out = both.where("blank or kinds > 1")
     level, points = ("WARNING", 8.0) if warning else ("REVIEW", 4.0)
     return out.select(F.col("i__").alias(item), F.col("b__").alias(bidder), F.col("t__").alias(text), "kinds", F.coalesce("closest", F.lit(0.0)).alias("closest"), F.lit(level).alias("severity"), F.lit(points).alias("points"))

@@ -6,10 +6,10 @@ from tallyloom.operators import consensus
 
 
 def test_by_hand(spark):
-    rows = [(1, 1, "Cáp điện"), (1, 2, "cap dien"), (2, 1, "Tủ điện"), (2, 2, None), (3, 1, "Schneider"), (3, 2, "ABB"), (3, 3, "ABB"), (4, 1, "x"), (5, 1, ""), (5, 2, None), (None, 1, "a"), (None, 2, "b"), (6, 1, "same"), (6, 1, "same")]
+    rows = [(1, 1, "Cáp điện"), (1, 2, "cap dien"), (2, 1, "Tủ điện"), (2, 2, None), (3, 1, "Schneider"), (3, 2, "ABB"), (3, 3, "ABB"), (4, 1, "x"), (5, 1, ""), (5, 2, None), (7, 1, "x"), (7, 2, "y"), (7, 3, " "), (None, 1, "a"), (None, 2, "b"), (6, 1, "same"), (6, 1, "same")]
     df = spark.createDataFrame([(*r, "t") for r in rows], "item long, bidder long, brand string, t__ string")
     got = {(r["item"], r["bidder"], r["brand"], r["kinds"], r["severity"], r["points"]) for r in consensus.text_consensus(df, "item", "bidder", "brand").collect()}
-    assert got == {(2, 1, "Tủ điện", 1, "REVIEW", 4.0), (2, 2, "", 1, "REVIEW", 4.0), (3, 1, "Schneider", 2, "REVIEW", 4.0), (3, 2, "ABB", 2, "REVIEW", 4.0), (3, 3, "ABB", 2, "REVIEW", 4.0)}
+    assert got == {(2, 1, "Tủ điện", 1, "REVIEW", 4.0), (2, 2, "", 1, "REVIEW", 4.0), (3, 1, "Schneider", 2, "REVIEW", 4.0), (3, 2, "ABB", 2, "REVIEW", 4.0), (3, 3, "ABB", 2, "REVIEW", 4.0), *((7, b, t, 2, "REVIEW", 4.0) for b, t in ((1, "x"), (2, "y"), (3, "")))}
     assert consensus.text_consensus(df.limit(0), "item", "bidder", "brand").count() == 0
 
 
