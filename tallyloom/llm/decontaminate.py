@@ -1,4 +1,4 @@
-"""Operator 2: benchmark passages in training texts by rare n-gram seeds and Smith-Waterman alignment."""
+"""Operator 2: benchmark passages in training texts by n-gram seeds and Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -14,14 +14,13 @@ from .base import map_batches, table
 
 @dataclass(frozen=True)
 class Search:
-    """gram: words of a seed; window: of so many neighbouring seeds of an item the rarest is looked up; least: aligned share of the item's best score.
+    """gram: words of a seed, all of which are looked up; least: aligned share of the item's best score.
 
     block: words of items taken at once. More items are searched in further
     passes over the texts, so what is broadcast stays below it.
     """
 
     gram: int = 4
-    window: int = 6
     least: float = 0.5
     match: int = 2
     differ: int = -1
@@ -102,16 +101,9 @@ class Items:
             for at, seed in zip(*map(np.ndarray.tolist, _grams(ids, min(search.gram, max(1, len(ids)))))):
                 self.seeds.setdefault(seed, []).append((item, at))
 
-    def rarest(self, df: dict[int, int]) -> set[int]:
-        """The seeds to look up: in each window of an item the one in the fewest texts, the first at a tie."""
-        out: set[int] = set()
-        for ids in self.words.values():
-            _, seeds = _grams(ids, min(self.search.gram, max(1, len(ids))))
-            order = [(df.get(s, 0), k, s) for k, s in enumerate(seeds.tolist())]
-            for k in range(max(1, len(order) - self.search.window + 1)):
-                if part := order[k : k + self.search.window]:
-                    out.add(min(part)[2])
-        return out
+    def reach(self, size: int) -> int:
+        """Words of a text that an alignment reaching ``least`` can have beyond those of the item: each costs a gap."""
+        return int(self.search.match * (1 - self.search.least) * size / -self.search.gap)
 
     def sizes(self) -> list[int]:
         return sorted({min(self.search.gram, max(1, len(ids))) for ids in self.words.values() if len(ids)})
@@ -130,27 +122,6 @@ def _blocks(items: DataFrame, search: Search):
         yield block
 
 
-def _seed_counts(docs: DataFrame, shared) -> DataFrame:
-    def run(batches):
-        import pyarrow as pa
-
-        bank = shared.value
-        wanted = np.array(sorted(bank.seeds), np.uint64)
-        total = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ids = _ids(text, bank.vocabulary)
-                for n in bank.sizes():
-                    seeds = np.unique(_grams(ids, n)[1])
-                    at = np.searchsorted(wanted, seeds)
-                    at[at == len(wanted)] = 0
-                    total[at[wanted[at] == seeds]] += 1
-        some = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], ["seed", "n"])
-
-    return map_batches(docs.select("text"), run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-
-
 def _aligned(docs: DataFrame, shared, search: Search, keep: tuple[str, ...], clean: bool = False) -> DataFrame:
     """The columns ``keep`` with each alignment; or, if ``clean``, the rows without any."""
     fields = [docs.schema[c] for c in keep]
@@ -158,8 +129,8 @@ def _aligned(docs: DataFrame, shared, search: Search, keep: tuple[str, ...], cle
     def run(batches):
         import pyarrow as pa
 
-        bank, chosen = shared.value
-        wanted = np.array(sorted(chosen), np.uint64)
+        bank = shared.value
+        wanted = np.array(sorted(bank.seeds), np.uint64)
         names = [*(f.name for f in fields), "item_id", "score", "similarity", "first_word", "last_word"]
         for batch in batches:
             rows: list[tuple] = []
@@ -173,7 +144,8 @@ def _aligned(docs: DataFrame, shared, search: Search, keep: tuple[str, ...], cle
                     for place, seed in zip(places[wanted[at] == seeds].tolist(), seeds[wanted[at] == seeds].tolist()):
                         for item, inside in bank.seeds[seed]:
                             size = len(bank.words[item])
-                            spans.setdefault(item, []).append((max(0, place - inside - size // 2 - 2), min(len(ids), place - inside + size + size // 2 + 2)))
+                            reach = bank.reach(size)
+                            spans.setdefault(item, []).append((max(0, place - inside - reach), min(len(ids), place - inside + size + reach)))
                 for item, own in spans.items():
                     b, best = bank.words[item], (0, 0, 0)
                     joined: list[list[int]] = []
@@ -203,21 +175,19 @@ def _aligned(docs: DataFrame, shared, search: Search, keep: tuple[str, ...], cle
 
 
 def _passes(docs: DataFrame, items: DataFrame, search: Search):
-    """For each block of items a broadcast of them and of their rarest seeds."""
+    """A broadcast of each block of items."""
     context = docs.sparkSession.sparkContext
     for block in _blocks(items, search):
-        bank = Items(block, search)
-        counts = {int(np.int64(r["seed"]).view(np.uint64)): r["n"] for r in _seed_counts(docs, context.broadcast(bank)).collect()}
-        yield context.broadcast((bank, bank.rarest(counts)))
+        yield context.broadcast(Items(block, search))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, search: Search = Search()) -> DataFrame:
     """(doc_id, item_id, score, similarity, first_word, last_word): every row of ``docs(doc_id, text)`` with each item of ``items(item_id, text)`` aligned in it.
 
-    A text is aligned with an item where it has one of the item's rare seeds;
-    with a seed from each window of neighbouring ones, any run of gram +
-    window - 1 unedited words meets one. Of a text's alignments with an item
-    the best is returned if it reaches ``least`` of the score of a whole copy.
+    A text is aligned with an item wherever it has ``gram`` neighbouring words
+    of it, as far around as an alignment that reaches ``least`` can extend.
+    Of a text's alignments with an item the best is returned if it reaches
+    ``least`` of the score of a whole copy.
     Words are those of :func:`terms`. Items shorter than a seed are seeds
     themselves; null or empty texts and items match nothing. Repeated rows
     give repeated results; other columns are ignored.

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -77,6 +78,30 @@ def test_align():
     assert decontaminate.align(np.array([1, 2, 7, 3, 4]), np.array([1, 2, 3, 4]), s)[0] == 7
 
 
+def test_edited_leaks(spark):
+    """Edited copies of items of every length against the alignment of whole texts: none is missed that shares a seed."""
+    draw, s = random.Random(4), decontaminate.Search()
+    items = [(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(4, 41)]
+    texts = {}
+    for n, text in items:
+        for share in (0, 0.15, 0.3):
+            own = text.split()
+            for k in [n // 2] if not share else [k for k in range(n) if draw.random() < share]:
+                own[k] = draw.choice(("other", "more words here", f"{own[k]} too"))
+            texts[len(texts)] = (n, " ".join(["before"] * 30 + own + ["after"] * 30))
+        own = text.split()
+        texts[len(texts)] = (n, " ".join([*own[:4], *["between"] * (n - 5), *own[4:]]))
+    want = {}
+    for i, (n, t) in texts.items():
+        a, b = decontaminate.terms(t), decontaminate.terms(dict(items)[n])
+        known = {w: k for k, w in enumerate(b)}
+        score = decontaminate.align(np.array([known.get(w, -1) for w in a]), np.arange(n), s)[0]
+        if score >= s.least * s.match * n and any(a[j : j + 4] == b[k : k + 4] for j in range(len(a) - 3) for k in range(n - 3)):
+            want[i, n] = score
+    got = decontaminate.find_leaks(spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == want and len(want) > 100
+
+
 def test_mixing(spark, docs, empty):
     assert mixing.share_targets({"a": 10, "b": 100}, {"a": 3, "b": 1}, 60) == {"a": 20.0, "b": 40.0}
     flow = mixing.route({"x": (["a"], 10), "y": (["a", "b"], 10)}, {"a": 15, "b": 10}, 2)
