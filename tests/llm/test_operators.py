@@ -158,6 +158,32 @@ def test_long_band_lists(spark):
     assert gone == near - {min(near | {0})} and 100 not in gone
 
 
+def runs(t):
+    return {t[k : k + 5] for k in range(max(1, len(t) - 4))}
+
+
+def near_classes(rows):
+    """The ids of all lines but the first of each class, by comparing every pair."""
+    sets, first = [runs(t.lower()) for _, t in rows], list(range(len(rows)))
+    for j in range(len(rows)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((first[i], first[j]))
+                first = [low if f == high else f for f in first]
+    return {rows[k][0] for k, f in enumerate(first) if f != k}
+
+
+def test_edited_lines(spark):
+    """Lines of 8 to 24 words with one word replaced, against every pair; the edit is seen at each offset."""
+    draw, rows = random.Random(8), []
+    for n in range(8, 25):
+        for _ in range(3):
+            own = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 8))) for _ in range(n)]
+            rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join([*own[: n // 2], "edit", *own[n // 2 + 1 :]]))]
+    want = near_classes(rows)
+    assert {r["doc_id"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and len(want) > 20
+
+
 def test_tokens(spark, docs):
     got = token_counts.count_tokens(docs).collect()
     coding = token_counts.encoder(token_counts.VOCABULARY)[0]
