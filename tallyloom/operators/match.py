@@ -17,16 +17,17 @@ def keep_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tallyloom-"))
 
 
-def assign_one_to_one(pairs: DataFrame, left: str, right: str, order: Sequence[Column], rounds: int = 30) -> DataFrame:
+def assign_one_to_one(pairs: DataFrame, left: str, right: str, order: Sequence[Column]) -> DataFrame:
     """The greedy assignment by ``order`` (best first, without ties): each round keeps the pairs that are first for both ends.
 
-    Equal to taking pairs in order one after the other. Each round settles at
-    least the first pair of every connected group and drops the pairs of
-    settled rows, so the rounds are few; lineage is cut by checkpoint().
+    Equal to taking pairs in order one after the other, until no pair is open.
+    Each round settles at least the first pair of every connected group and
+    drops the pairs of settled rows; lineage is cut by checkpoint(). A group
+    whose rows are all tied takes a round a pair, see :func:`equal_key_pairs`.
     """
     keep_checkpoints(pairs.sparkSession)
     open_, done = pairs, None
-    for _ in range(rounds):
+    while True:
         best = open_.withColumn("l__", F.row_number().over(Window.partitionBy(left).orderBy(*order))).withColumn("r__", F.row_number().over(Window.partitionBy(right).orderBy(*order)))
         kept = best.where("l__ = 1 and r__ = 1").drop("l__", "r__").checkpoint()
         if kept.isEmpty():

@@ -46,6 +46,13 @@ def test_greedy_assignment(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == want
 
 
+def test_greedy_assignment_of_tied_rows(spark):
+    """Rows of one key on both sides, all of one score, settle one pair a round; none stays unmatched."""
+    pairs = spark.range(33).select(F.col("id").alias("a")).crossJoin(spark.range(33).select(F.col("id").alias("b"))).withColumn("s", F.lit(1)).coalesce(1)
+    got = match.assign_one_to_one(pairs, "a", "b", [F.desc("s"), F.col("a"), F.col("b")])
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(k, k) for k in range(33)]
+
+
 def test_thresholds(spark):
     rows = spark.createDataFrame([(100.0, 104.9), (100.0, 105.1), (100.0, 119.9), (100.0, 120.1), (100.0, None), (None, None)], "b double, v double")
     level = compare.numeric_difference(F.col("b"), F.col("v"), 0.05, 0.20)
