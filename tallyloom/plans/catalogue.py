@@ -390,6 +390,14 @@ def cer_eval(spark, sf_dir):
     return b.select("item_id", F.levenshtein(a, r).alias("distance"), F.round(F.levenshtein(a, r) / F.greatest(F.length(a), F.lit(1)), 6).alias("cer"))
 
 
+@query()
+def cer_whole_texts(spark, sf_dir):
+    """Character error rate over the whole texts of all items read backwards, all edits by all characters of the items."""
+    b = read(spark, sf_dir, "benchmark").select(F.coalesce("text", F.lit("")).alias("a")).withColumn("r", F.reverse("a"))
+    sums = b.agg(F.count(F.lit(1)).alias("cells"), F.avg((F.col("a") == F.col("r")).cast("int")).alias("exact_match"), F.sum(F.levenshtein("a", "r").cast("long")).alias("edits"), F.sum(F.greatest(F.length("a"), F.lit(1)).cast("long")).alias("chars"))
+    return sums.withColumn("cer", F.col("edits") / F.greatest("chars", F.lit(1)))
+
+
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
 def feedback_latest_wins(spark, sf_dir):
     newest = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id")))

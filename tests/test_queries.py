@@ -53,6 +53,25 @@ def test_greedy_assignment_of_tied_rows(spark):
     assert sorted((r["a"], r["b"]) for r in got.collect()) == [(k, k) for k in range(33)]
 
 
+def test_cer_of_whole_texts(spark, tmp_path):
+    """Whole texts with accents, null and empty ones, against the table of the edit distance."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            up, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, up[j] + 1, up[j - 1] + (x != y)))
+        return row[-1]
+
+    texts = ["déjà vu élève " * 20, "plain letters " * 25, "ABBA", "日本語𝄞テスト", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    row = catalogue.QUERIES["cer_whole_texts"](spark, str(tmp_path)).collect()
+    whole = [t or "" for t in texts]
+    edits, chars = sum(distance(t, t[::-1]) for t in whole), sum(max(len(t), 1) for t in whole)
+    assert [tuple(r) for r in row] == [(6, 3 / 6, edits, chars, edits / chars)]
+
+
 def test_thresholds(spark):
     rows = spark.createDataFrame([(100.0, 104.9), (100.0, 105.1), (100.0, 119.9), (100.0, 120.1), (100.0, None), (None, None)], "b double, v double")
     level = compare.numeric_difference(F.col("b"), F.col("v"), 0.05, 0.20)
