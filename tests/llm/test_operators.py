@@ -184,6 +184,15 @@ def test_edited_lines(spark):
     assert {r["doc_id"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and len(want) > 20
 
 
+def test_lines_without_spaces(spark):
+    """Lines that are one long token differ by what follows its start; a family of edited copies against every pair."""
+    own = LINE.split()
+    rows = [(1, "https://www.example.org/a/1"), (2, "https://www.other.net/b"), (3, "今天天气很好我们一起去公园散步然后回家吃饭看书"), (4, "今天天气很好我们一起去公园的路上遇见了一位老朋友"), (5, "0123456789ab" + "c" * 40), (6, "0123456789abdefghijklmnop")]
+    rows += [(10 + k, " ".join(own[:k] + [f"edit{k}"] + own[k + 1 :])) for k in range(24)] + [(99, LINE), (100, " ".join(reversed(own)))]
+    want = near_classes(rows)
+    assert {r["doc_id"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want and min(want) > 10
+
+
 def test_tokens(spark, docs):
     got = token_counts.count_tokens(docs).collect()
     coding = token_counts.encoder(token_counts.VOCABULARY)[0]
