@@ -153,9 +153,8 @@ def test_long_band_lists(spark):
     base_words = LINE.split()
     rows = [(k, " ".join(base_words[:k] + [f"edit{k}"] + base_words[k + 1 :])) for k in range(24)] + [(99, LINE), (100, " ".join(reversed(base_words)))]
     gone = {r["doc_id"] for r in line_dedup.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {i: {(" " + t.lower())[m.end() : m.end() + 12] for m in re.finditer(" ", " " + t.lower())} for i, t in rows}
-    near = {i for i, s in sets.items() if i and any(j != i and len(s & o) >= 0.8 * len(s | o) for j, o in sets.items())}
-    assert gone == near - {min(near | {0})} and 100 not in gone
+    want = near_classes(rows)
+    assert gone == want and 100 not in gone
 
 
 def runs(t):
