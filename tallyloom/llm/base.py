@@ -22,11 +22,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A local folder stands in only where the setting is absent (tests).
+    A local folder stands in only where the setting is absent in a session of one process (tests).
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tallyloom-")
@@ -122,6 +124,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def join_labels(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Components ``labels(node, label)`` after further edges ``more(a, b)``, found among the components alone."""
+    end = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_l")), c, "left").withColumn(f"{c}_l", F.coalesce(f"{c}_l", c))
+    wide = end(end(more.select("a", "b"), "a"), "b")
+    up = connected_components(wide.select(F.col("a_l").alias("a"), F.col("b_l").alias("b"))).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    all_nodes = labels.unionByName(wide.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_l").alias("label")), F.struct(F.col("b").alias("node"), F.col("b_l").alias("label")))).alias("x")).select("x.node", "x.label")).distinct()
+    out = all_nodes.join(up, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    return materialize(out, "labels")
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """The words of a text with A-Z lower-cased, as UTF-8; bytes.split() parts at the six characters that SPACE names."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()

@@ -15,16 +15,16 @@ LOG2 = float(np.log(2))
 
 @dataclass(frozen=True)
 class Tree:
-    """depth: bytes of the longest context (at most 6); contexts: the most frequent contexts that get a node.
+    """depth: bytes of the longest context (3 to 6). All contexts of the corpus have a node, so the model grows with it.
 
-    ``contexts`` bounds the model whatever the corpus: at most contexts x 256
-    numbers reach the driver and the tasks. A context is never rarer than the
-    longer ones that end in it, so the chosen ones form a tree, and what has
-    no node of its own is counted in a node for the rest beside its siblings.
+    split: the bytes next to the predicted one whose contexts are worked on in
+    one task. block: runs of depth + 1 bytes looked up in one pass over the
+    texts; more runs make more passes, and none holds more than 12 bytes a run.
     """
 
     depth: int = 5
-    contexts: int = 12_288
+    split: int = 2
+    block: int = 4_000_000
     chunk: int = 1 << 21
     head: int = 50_000
 
@@ -41,15 +41,16 @@ def _bytes(texts, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(texts, size: int):
-    part, total = [], 0
-    for text in texts:
+    """(place of the first, texts) of runs of texts of about ``size`` bytes."""
+    part, total, at = [], 0, 0
+    for k, text in enumerate(texts):
         part.append(text)
         total += len(text or "") + 8
         if total >= size:
-            yield part
-            part, total = [], 0
+            yield at, part
+            part, total, at = [], 0, k + 1
     if part:
-        yield part
+        yield at, part
 
 
 def _targets(flat: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -60,50 +61,43 @@ def _targets(flat: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
+    """At every byte the run of depth + 1 bytes that ends there, the last byte lowest."""
+    out = np.zeros(len(flat), np.int64)
+    for k in range(depth + 1):
+        out[k:] |= flat[: len(flat) - k].astype(np.int64) << (8 * k)
+    return out
+
+
+def _folded(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return [(keys, np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64))]
+
+
 def gram_counts(docs: DataFrame, tree: Tree) -> DataFrame:
-    """(gram, n): how often each run of depth + 1 bytes ends at a byte of ``docs(text)``, summed over all rows."""
+    """(gram, n) of every run of depth + 1 bytes that ends at a byte of ``docs(text, train)``; n counts those where ``train`` holds, summed over all rows."""
     depth, chunk = tree.depth, tree.chunk
 
     def run(batches):
         import pyarrow as pa
 
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        fold = lambda k, n: (lambda u, i: (u, np.bincount(i, n, len(u)).astype(np.int64)))(*np.unique(k, return_inverse=True))
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            for part in _pieces(batch.column(0).to_pylist(), chunk):
+            train = np.array(batch.column(1).to_pylist(), bool)
+            for first, part in _pieces(batch.column(0).to_pylist(), chunk):
                 flat, starts = _bytes(part, depth)
-                codes = np.zeros(len(flat), np.int64)
-                for k in range(depth + 1):
-                    codes[k:] |= flat[: len(flat) - k].astype(np.int64) << (8 * k)
-                held.append(np.unique(codes[_targets(flat, starts, depth)], return_counts=True))
+                here = _targets(flat, starts, depth)
+                owner = np.searchsorted(starts, np.nonzero(here)[0], "right") - 1
+                keys, place = np.unique(_codes(flat, depth)[here], return_inverse=True)
+                held.append((keys, np.bincount(place, train[first + owner], len(keys)).astype(np.int64)))
                 if len(held) == 8:
-                    keys, sums = fold(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([sums, *(h[1] for h in held)]))
-                    held = []
+                    held = _folded(held)
         if held:
-            keys, sums = fold(np.concatenate([keys, *(h[0] for h in held)]), np.concatenate([sums, *(h[1] for h in held)]))
-        for k in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(sums[k : k + 100_000])], ["gram", "n"])
-
-    return map_batches(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            (keys, sums), = _folded(held)
+            for k in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(sums[k : k + 100_000])], ["gram", "n"])
 
-
-def _suffix(d: int):
-    """The context of d bytes before the last byte of a gram."""
-    return F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
-
-
-def choose_contexts(counts: DataFrame, tree: Tree) -> DataFrame:
-    """(d, ctx) of the most frequent contexts, the shorter and then the smaller first at a tie."""
-    by_depth = counts.select("n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), _suffix(d).alias("ctx")) for d in range(tree.depth + 1)])).alias("c"))
-    return by_depth.groupBy("c.d", "c.ctx").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d", "ctx").limit(tree.contexts).select("d", "ctx")
-
-
-def context_counts(counts: DataFrame, chosen: DataFrame, tree: Tree) -> DataFrame:
-    """(d, ctx, byte, n) of the chosen contexts, a table of tree.contexts x 256 rows at most."""
-    by_depth = counts.select("n", F.col("gram").bitwiseAND(F.lit(255)).cast("int").alias("byte"), F.explode(F.array(*[F.struct(F.lit(d).alias("d"), _suffix(d).alias("ctx")) for d in range(tree.depth + 1)])).alias("c"))
-    by_depth = by_depth.select(F.col("c.d").alias("d"), F.col("c.ctx").alias("ctx"), "byte", "n")
-    return by_depth.join(F.broadcast(chosen), ["d", "ctx"]).groupBy("d", "ctx", "byte").agg(F.sum("n").alias("n"))
+    return map_batches(docs.select("text", "train"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -117,112 +111,157 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def _bit_counts(counts: np.ndarray) -> np.ndarray:
-    """(nodes, 256, 2): zeros and ones at each of a byte's 255 binary nodes (1 is the root, 2k and 2k + 1 follow k)."""
-    out = np.zeros((len(counts), 256, 2))
-    level = counts.astype(np.float64)
-    for depth in range(7, -1, -1):
-        level = level.reshape(len(counts), -1, 2)
-        out[:, 1 << depth : 2 << depth] = level
-        level = level.sum(axis=2)
-    return out
+def _evidence(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of that many zeros and ones."""
+    return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def build_model(rows, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """(children, logs): the node below a node by the next older byte (-1: none), and log10 P(byte) by node.
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
 
-    Every binary node of every context mixes its own Krichevsky-Trofimov
-    estimate and what its longer contexts say, with the weights that the
-    training counts give them (a half each before any data).
-    """
-    d, ctx, byte, n = (np.asarray(x, np.int64) for x in rows)
-    order = np.lexsort((ctx, d))
-    d, ctx, byte, n = d[order], ctx[order], byte[order], n[order]
-    if not len(d):
-        return np.full((1, 256), -1, np.int16), np.full((1, 256), -8 * np.log10(2.0), np.float32)
-    new = np.concatenate(([True], (d[1:] != d[:-1]) | (ctx[1:] != ctx[:-1])))
-    node = np.cumsum(new) - 1
-    depth, code = d[new], ctx[new]
-    counts = np.zeros((len(depth), 256))
-    counts[node, byte] = n
-    place = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(depth, code))}
-    parent = np.array([-1 if a == 0 else place[int(a) - 1, int(b) & ((1 << (8 * (int(a) - 1))) - 1)] for a, b in zip(depth, code)])
-    children = np.full((len(depth), 256), -1, np.int16)
-    lower = depth > 0
-    children[parent[lower], code[lower] >> (8 * (depth[lower] - 1))] = np.nonzero(lower)[0]
-    inner = (children >= 0).any(axis=1)
-    rest = counts.copy()
-    np.subtract.at(rest, parent[lower], counts[lower])
-    kt = lambda b: (b + 0.5) / (b.sum(axis=2, keepdims=True) + 1)
-    evidence = lambda b: _lgamma(b[..., 0] + 0.5) + _lgamma(b[..., 1] + 0.5) - _lgamma(b.sum(axis=2) + 1) - np.log(np.pi)
-    weight = np.ones((len(depth), 256))
-    below = np.zeros((len(depth), 256))
-    for level in range(int(depth.max()), -1, -1):
-        here = np.nonzero(depth == level)[0]
-        for at in np.array_split(here, max(1, len(here) // 1024)):
-            own = evidence(_bit_counts(counts[at]))
-            deep = inner[at]
-            whole = own.copy()
-            if deep.any():
-                split = below[at[deep]] + evidence(_bit_counts(rest[at[deep]]))
-                whole[deep] = np.logaddexp(own[deep], split) - LOG2
-                weight[at[deep]] = np.exp(own[deep] - LOG2 - whole[deep])
-            if level:
-                np.add.at(below, parent[at], whole)
-    del below
-    said = np.zeros((len(depth), 256))
-    left = np.ones((len(depth), 256))
-    logs = np.zeros((len(depth), 256), np.float32)
-    for level in range(int(depth.max()) + 1):
-        here = np.nonzero(depth == level)[0]
-        for at in np.array_split(here, max(1, len(here) // 1024)):
-            above, share = (said[parent[at]], left[parent[at]]) if level else (0.0, 1.0)
-            one = kt(_bit_counts(counts[at]))[..., 1]
-            said[at] = above + share * weight[at] * one
-            left[at] = share * (1 - weight[at])
-            ones = said[at] + left[at] * kt(_bit_counts(rest[at]))[..., 1]
-            level_logs = np.zeros((len(at), 1))
-            for bit in range(8):
-                p = ones[:, 1 << bit : 2 << bit]
-                level_logs = (level_logs[:, :, None] + np.log10(np.stack([1 - p, p], 2))).reshape(len(at), -1)
-            logs[at] = level_logs
-    return children, logs
-
-
-def train(docs: DataFrame, tree: Tree = Tree()) -> tuple[np.ndarray, np.ndarray]:
-    counts = materialize(gram_counts(docs, tree), "grams")
-    chosen = materialize(choose_contexts(counts, tree), "contexts")
-    got = context_counts(counts, chosen, tree).toArrow()
-    return build_model([got.column(c).to_numpy() for c in ("d", "ctx", "byte", "n")], tree)
 
+def _mixed(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln of a half of each, and the weight that the data leave to the node's own estimate."""
+    whole = np.logaddexp(own, below) - LOG2
+    return whole, np.exp(own - LOG2 - whole)
 
-def model_scores(docs: DataFrame, model, tree: Tree, *keep: str) -> DataFrame:
-    """``keep``, n_bytes and score (log10 P of the lower-cased text and its end) for every row of ``docs(text)``."""
-    children, logs, depth, chunk = model[0].ravel(), model[1].ravel(), tree.depth, tree.chunk
-    shared = docs.sparkSession.sparkContext.broadcast((children, logs))
-    fields = [f for f in docs.schema.fields if f.name in keep]
 
-    def run(batches):
+def _levels(gram: np.ndarray, n: np.ndarray, depths: range):
+    """For each of the 8 bits of the predicted byte: (bit, its node, {depth: (contexts with the node, place of each gram, zeros, ones, weight)}, ln evidence at the least depth).
+
+    A byte is eight binary decisions, at the nodes 1 and then 2k or 2k + 1;
+    the decisions of a level have trees of their own, so levels are worked on
+    one by one and only contexts that occur have entries.
+    """
+    byte = gram & 255
+    for level in range(8):
+        node, bit = (1 << level) | (byte >> (8 - level)), (byte >> (7 - level)) & 1
+        found, below = {}, None
+        for d in reversed(depths):
+            keys, place = np.unique(((gram >> 8) & ((1 << 8 * d) - 1)) << 8 | node, return_inverse=True)
+            zeros, ones = np.bincount(place, n * (1 - bit), len(keys)), np.bincount(place, n * bit, len(keys))
+            own = _evidence(zeros, ones)
+            if below is None:
+                whole, weight = own, np.ones(len(keys))
+            else:
+                longer, of_longer = below
+                up = np.searchsorted(keys, ((longer >> 8) & ((1 << 8 * d) - 1)) << 8 | (longer & 255))
+                whole, weight = _mixed(own, np.bincount(up, of_longer, len(keys)))
+            found[d] = (keys, place, zeros, ones, weight)
+            below = (keys, whole)
+        yield bit, node, found, below[1]
+
+
+def _by_suffix(counts: DataFrame, tree: Tree, fn, schema: str) -> DataFrame:
+    """``fn(gram, n)`` for the runs of each suffix of ``split`` bytes."""
+    suffix = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * tree.split)) - 1))
+
+    def run(data):
         import pyarrow as pa
 
-        below, table_ = shared.value
-        for batch in batches:
-            sizes, scores = [], []
-            for part in _pieces(batch.column(len(fields)).to_pylist(), chunk):
-                flat, starts = _bytes(part, depth)
-                node = np.zeros(len(flat), np.int32)
-                going = np.ones(len(flat), bool)
-                for k in range(1, depth + 1):
-                    step = below[node[k:] * 256 + flat[: len(flat) - k]]
-                    going[k:] &= step >= 0
-                    node[k:] = np.where(going[k:], step, node[k:])
-                value = np.where(_targets(flat, starts, depth), table_[node * 256 + flat], np.float32(0)).astype(np.float64)
-                scores.append(np.add.reduceat(value, starts))
-                sizes.append(np.diff(np.append(starts, len(flat) + depth)) - depth - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*scores, np.zeros(0)]))], [*(f.name for f in fields), "n_bytes", "score"])
+        out = fn(data.column("gram").to_numpy(), data.column("n").to_numpy())
+        return pa.table(out)
+
+    return counts.groupBy(suffix.alias("suffix")).applyInArrow(lambda data: run(data), schema)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, score double"])
-    return map_batches(docs.select(*(f.name for f in fields), "text"), run, schema)
+
+def train(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
+    """(gram, logp): log10 P(last byte | the bytes before it) of every run of depth + 1 bytes of ``docs(text, train)``.
+
+    Every binary node of every context of 0 to ``depth`` bytes mixes its own
+    Krichevsky-Trofimov estimate and what its longer contexts say, with the
+    weights that the training counts give them (a half each before any data).
+    The contexts of one suffix are a subtree, worked on in one task; of each
+    byte's subtrees only the sums at their roots come to the driver (at most
+    256 x 255 rows), which mixes the shorter contexts.
+    """
+    counts = materialize(gram_counts(docs, tree), "grams")
+    low, depths = tree.split, range(tree.split, tree.depth + 1)
+    if low not in (1, 2):
+        raise ValueError("split is 1 or 2")
+
+    def roots(gram, n):
+        rows = [(found[low][0], whole, found[low][2], found[low][3]) for _, _, found, whole in _levels(gram, n, depths)]
+        keys, whole, zeros, ones = (np.concatenate(x) for x in zip(*rows))
+        return {"ctx": keys >> 8, "node": (keys & 255).astype(np.int32), "whole": whole, "zeros": zeros.astype(np.float64), "ones": ones.astype(np.float64)}
+
+    above = _by_suffix(counts, tree, roots, "ctx long, node int, whole double, zeros double, ones double")
+    above = above.groupBy((F.col("ctx").bitwiseAND(F.lit(255)) if low == 2 else F.lit(0).cast("long")).alias("ctx"), "node")
+    above = above.agg(F.sum("whole").alias("whole"), F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    root = above.toArrow()
+    ctx, node, below, zeros, ones = (root.column(c).to_numpy() for c in ("ctx", "node", "whole", "zeros", "ones"))
+    said, left = np.zeros((256, 256)), np.ones((256, 256))
+    whole, weight = _mixed(_evidence(zeros, ones), below)
+    tops = {k: np.bincount(node, v, 256) for k, v in (("zeros", zeros), ("ones", ones), ("below", whole if low == 2 else below))}
+    _, top = _mixed(_evidence(tops["zeros"], tops["ones"]), tops["below"])
+    said += top * _estimate(tops["zeros"], tops["ones"])
+    left *= 1 - top
+    if low == 2:
+        said[ctx, node] += left[ctx, node] * weight * _estimate(zeros, ones)
+        left[ctx, node] *= 1 - weight
+    shared = docs.sparkSession.sparkContext.broadcast((said, left))
+
+    def predicted(gram, n):
+        first, logs = (gram >> 8) & 255, np.zeros(len(gram))
+        for bit, node, found, _ in _levels(gram, n, depths):
+            p, rest = shared.value[0][first, node], shared.value[1][first, node]
+            for d in depths:
+                _, place, zeros, ones, weight = found[d]
+                p = p + rest * weight[place] * _estimate(zeros, ones)[place]
+                rest = rest * (1 - weight[place])
+            logs += np.log10(np.where(bit == 1, p, 1 - p))
+        return {"gram": gram, "logp": logs.astype(np.float32)}
+
+    return materialize(_by_suffix(counts, tree, predicted, "gram long, logp float"), "model")
+
+
+def _blocks(model: DataFrame, tree: Tree):
+    """(runs in order, their logp) of the model, at most about ``block`` of them at once."""
+    parts = max(1, -(-model.count() // tree.block))
+    for k in range(parts):
+        own = model.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == k) if parts > 1 else model
+        got = own.toArrow()
+        gram, logp = got.column("gram").to_numpy(), got.column("logp").to_numpy()
+        order = np.argsort(gram)
+        yield gram[order], logp[order]
+
+
+def model_scores(docs: DataFrame, model: DataFrame, tree: Tree, *keep: str) -> DataFrame:
+    """``keep``, n_bytes and score (log10 P of the lower-cased text and its end) for every row of ``docs(text)``, all of whose runs the model has.
+
+    The model is sent to the tasks in blocks of bounded size; a text goes
+    through one pass a block within its task, and no text is shuffled.
+    """
+    depth, chunk = tree.depth, tree.chunk
+    names = [f.name for f in docs.schema.fields if f.name in keep]
+    fields = [docs.schema[c] for c in names]
+    out = docs.select(*names, "text", F.lit(0).cast("long").alias("n_bytes"), F.lit(0.0).alias("score"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text string, n_bytes long, score double"])
+    for gram, logp in _blocks(model, tree):
+        shared = docs.sparkSession.sparkContext.broadcast((gram, logp))
+
+        def run(batches, shared=shared):
+            import pyarrow as pa
+
+            codes, logs = shared.value
+            for batch in batches:
+                sizes, scores = [], []
+                for _, part in _pieces(batch.column(len(fields)).to_pylist(), chunk):
+                    flat, starts = _bytes(part, depth)
+                    here = _targets(flat, starts, depth)
+                    wanted = _codes(flat, depth)[here]
+                    at = np.minimum(np.searchsorted(codes, wanted), max(0, len(codes) - 1))
+                    value = np.zeros(len(flat))
+                    if len(codes):
+                        value[here] = np.where(codes[at] == wanted, logs[at], np.float32(0))
+                    scores.append(np.add.reduceat(value, starts))
+                    sizes.append(np.diff(np.append(starts, len(flat) + depth)) - depth - 1)
+                before = batch.column(len(fields) + 2).to_numpy()
+                total = before + np.concatenate([*scores, np.zeros(0)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields) + 1], pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(total)], [*names, "text", "n_bytes", "score"])
+
+        out = map_batches(out, run, schema)
+    return out.drop("text")
 
 
 def word_scores(docs: DataFrame, training: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
@@ -262,7 +301,7 @@ def score_texts(docs: DataFrame, held_out, tree: Tree = Tree()) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     training = docs.where(~held_out)
-    model = train(training, tree)
+    model = train(docs.select("text", (~held_out).alias("train")), tree)
     base, totals = word_scores(docs, training, tree)
     t = totals.first()
     end = 1 if t["train_rows"] else 0

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import map_batches, table
 
@@ -89,15 +90,16 @@ def align(a: np.ndarray, b: np.ndarray, search: Search) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of items, their words as numbers, and their seeds."""
+    """A block of items by their place in it (ids may repeat or be null), their words as numbers, and their seeds."""
 
     def __init__(self, rows, search: Search):
         self.vocabulary: dict[str, int] = {}
-        self.search, self.words = search, {}
+        self.search, self.words, self.ids = search, [], []
         for item, text in rows:
-            self.words[item] = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in terms(text)], np.int64)
+            self.ids.append(item)
+            self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in terms(text)], np.int64))
         self.seeds: dict[int, list[tuple[int, int]]] = {}
-        for item, ids in self.words.items():
+        for item, ids in enumerate(self.words):
             for at, seed in zip(*map(np.ndarray.tolist, _grams(ids, min(search.gram, max(1, len(ids)))))):
                 self.seeds.setdefault(seed, []).append((item, at))
 
@@ -106,13 +108,13 @@ class Items:
         return int(self.search.match * (1 - self.search.least) * size / -self.search.gap)
 
     def sizes(self) -> list[int]:
-        return sorted({min(self.search.gram, max(1, len(ids))) for ids in self.words.values() if len(ids)})
+        return sorted({min(self.search.gram, max(1, len(ids))) for ids in self.words if len(ids)})
 
 
 def _blocks(items: DataFrame, search: Search):
     """Items by block; only one block is in the driver at a time."""
     block, total = [], 0
-    for r in items.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for r in items.where("text is not null").groupBy("item_id", "text").agg(F.count(F.lit(1))).orderBy("item_id", "text").toLocalIterator():
         block.append((r["item_id"], r["text"]))
         total += len(terms(r["text"]))
         if total >= search.block:
@@ -122,9 +124,11 @@ def _blocks(items: DataFrame, search: Search):
         yield block
 
 
-def _aligned(docs: DataFrame, shared, search: Search, keep: tuple[str, ...], clean: bool = False) -> DataFrame:
+def _aligned(docs: DataFrame, shared, search: Search, keep: tuple[str, ...], clean: bool = False, item_type: T.DataType = T.LongType()) -> DataFrame:
     """The columns ``keep`` with each alignment; or, if ``clean``, the rows without any."""
-    fields = [docs.schema[c] for c in keep]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields, kind = [docs.schema[c] for c in keep], to_arrow_type(item_type)
 
     def run(batches):
         import pyarrow as pa
@@ -159,18 +163,18 @@ def _aligned(docs: DataFrame, shared, search: Search, keep: tuple[str, ...], cle
                         if score > best[0]:
                             best = (score, lo + first, lo + last)
                     if best[0] >= search.least * search.match * len(b):
-                        rows.append((k, item, best[0], best[0] / (search.match * len(b)), best[1], best[2]))
+                        rows.append((k, bank.ids[item], best[0], best[0] / (search.match * len(b)), best[1], best[2]))
             if clean:
                 stays = np.ones(batch.num_rows, bool)
                 stays[[r[0] for r in rows]] = False
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(fields)], list(keep)).filter(pa.array(stays))
             elif rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(cols[0])) for c in batch.columns[: len(fields)]), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())))], names)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(cols[0])) for c in batch.columns[: len(fields)]), *(pa.array(c, t) for c, t in zip(cols[1:], (kind, pa.int64(), pa.float64(), pa.int64(), pa.int64())))], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     if not clean:
-        schema += ", item_id long, score long, similarity double, first_word long, last_word long"
+        schema += f", item_id {item_type.simpleString()}, score long, similarity double, first_word long, last_word long"
     return map_batches(docs.select(*keep, F.col("text").alias("text__")), run, schema)
 
 
@@ -189,16 +193,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, search: Search = Search()) ->
     Of a text's alignments with an item the best is returned if it reaches
     ``least`` of the score of a whole copy.
     Words are those of :func:`terms`. Items shorter than a seed are seeds
-    themselves; null or empty texts and items match nothing. Repeated rows
-    give repeated results; other columns are ignored.
+    themselves; null or empty texts and items match nothing. Items are told by
+    id and text, so two texts under one id, or under none, are two items, and
+    a repeated item is one. Repeated documents give repeated results; other
+    columns are ignored.
     """
     out = None
     for shared in _passes(docs, items, search):
-        part = _aligned(docs, shared, search, ("doc_id",))
+        part = _aligned(docs, shared, search, ("doc_id",), item_type=items.schema["item_id"].dataType)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, score long, similarity double, first_word long, last_word long")
+        kind, of = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+        out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {of}, score long, similarity double, first_word long, last_word long")
     return out
 
 

@@ -14,12 +14,18 @@ from .base import crc_mod, map_batches, table
 
 @dataclass(frozen=True)
 class Profile:
-    """dims: length of the vectors; gram: letters bound together; block: characters of texts encoded at once."""
+    """dims: length of the vectors; gram: letters bound together.
+
+    block, texts: characters and texts encoded at once (a longer text is a
+    block of its own); part: n-gram vectors held at once.
+    """
 
     dims: int = 768
     gram: int = 3
     seed: int = 7
     block: int = 300_000
+    texts: int = 1_000
+    part: int = 4_096
 
 
 @lru_cache(maxsize=None)
@@ -80,7 +86,7 @@ def _counted(texts, profile: Profile):
     for k, text in enumerate(texts):
         block.append(grams(letters(text), profile.gram))
         size += len(block[-1])
-        if size >= profile.block or k == len(texts) - 1:
+        if size >= profile.block or len(block) >= profile.texts or k == len(texts) - 1:
             flat = np.concatenate(block)
             distinct, place = np.unique(flat, return_inverse=True)
             owner = np.repeat(np.arange(len(block)), [len(b) for b in block])
@@ -89,6 +95,24 @@ def _counted(texts, profile: Profile):
             at, block, size = k + 1, [], 0
 
 
+def bundle(n: int, distinct: np.ndarray, owner: np.ndarray, place: np.ndarray, counts: np.ndarray, profile: Profile) -> np.ndarray:
+    """The sum of its n-grams' vectors for each of n texts, in parts of bounded size: by a dense product, or by pairs where texts are short and share little."""
+    out = np.zeros((n, profile.dims), np.float32)
+    for k in range(0, len(distinct), profile.part):
+        vectors = gram_vectors(distinct[k : k + profile.part], profile).astype(np.float32)
+        inside = np.nonzero((place >= k) & (place < k + profile.part))[0]
+        if n * len(vectors) < 15 * len(inside):
+            dense = np.zeros((n, len(vectors)), np.float32)
+            dense[owner[inside], place[inside] - k] = counts[inside]
+            out += dense @ vectors
+            continue
+        for at in range(0, len(inside), profile.part):  # pairs are in the order of texts
+            some = inside[at : at + profile.part]
+            first = np.nonzero(np.diff(owner[some], prepend=-1))[0]
+            out[owner[some][first]] += np.add.reduceat(vectors[place[some] - k] * counts[some, None].astype(np.float32), first, axis=0)
+    return out
+
+
 def learn(docs: DataFrame, profile: Profile = Profile()) -> dict[str, np.ndarray]:
     """Unit prototype vectors by language from all rows of ``docs(text, lang)`` with both; texts weigh by their n-grams.
 
@@ -103,11 +127,12 @@ def learn(docs: DataFrame, profile: Profile = Profile()) -> dict[str, np.ndarray
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for at, n, distinct, owner, place, counts in _counted(batch.column(0).to_pylist(), profile):
-                vectors, here = gram_vectors(distinct, profile), np.array(langs[at : at + n])
-                for lang in set(langs[at : at + n]):
-                    inside = (here == lang)[owner]
-                    weights = np.bincount(place[inside], counts[inside], len(distinct)).astype(np.float32)
-                    total[lang] = total.get(lang, 0) + (weights @ vectors.astype(np.float32)).astype(np.int64)
+                here = np.array(langs[at : at + n])
+                weights = {lang: np.bincount(place[inside], counts[inside], len(distinct)).astype(np.float32) for lang in set(langs[at : at + n]) for inside in [(here == lang)[owner]]}
+                for k in range(0, len(distinct), profile.part):
+                    vectors = gram_vectors(distinct[k : k + profile.part], profile).astype(np.float32)
+                    for lang, w in weights.items():
+                        total[lang] = total.get(lang, 0) + (w[k : k + profile.part] @ vectors).astype(np.int64)
         names = sorted(total)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([total[x].tolist() for x in names], pa.list_(pa.int64()))], ["lang", "v"])
 
@@ -134,14 +159,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], profile: Profile
         import pyarrow as pa
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             labels, scores = [], []
             for _, n, distinct, owner, place, counts in _counted(batch.column(len(fields)).to_pylist(), profile):
-                vectors = gram_vectors(distinct, profile).astype(np.float32)
-                dense = np.zeros((n, max(len(distinct), 1)), np.float32)
-                dense[owner, place] = counts
-                bundled = dense[:, : len(distinct)] @ vectors
+                bundled = bundle(n, distinct, owner, place, counts, profile)
+                seen = np.bincount(owner, minlength=n) > 0
                 cosines = (bundled @ matrix) / np.maximum(np.linalg.norm(bundled, axis=1, keepdims=True), 1e-9)
-                for k, some in enumerate(dense.any(axis=1)):
+                for k, some in enumerate(seen):
                     best = int(np.argmax(cosines[k])) if names and some else -1
                     labels.append(names[best] if best >= 0 else "und")
                     scores.append(float(min(max(cosines[k, best], 0.0), 1.0)) if best >= 0 else 0.0)
@@ -153,9 +178,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], profile: Profile
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    prototypes = learn(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    out = predict(docs, prototypes)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    out = predict(docs, learn(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op4_language": op4_language}

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from .base import materialize, table, word_count
 
 EPOCHS = 2
+#: Patterns or sources up to which their rows are sent to all tasks.
+FEW = 10_000
 
 
 def share_targets(sizes: dict, weights: dict, total: float, most: float = EPOCHS) -> dict:
@@ -104,7 +106,7 @@ def _cuts(docs: DataFrame, wanted: dict[str, float]) -> dict[str, int]:
     for shift in bits:
         schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("low", T.LongType())])
         bounds = spark.createDataFrame([(p, x) for p, x in low.items()], schema)
-        inside = docs.join(bounds, "pattern").where((F.col("order") >= F.col("low")) & (F.col("order") < F.col("low") + F.lit(width)))
+        inside = docs.join(F.broadcast(bounds) if len(low) <= FEW else bounds, "pattern").where((F.col("order") >= F.col("low")) & (F.col("order") < F.col("low") + F.lit(width)))
         sums = inside.groupBy("pattern", F.shiftright(F.col("order") - F.col("low"), shift).alias("part")).agg(F.sum("size").alias("size"))
         by: dict[str, list] = {}
         for r in sums.orderBy("pattern", "part").toLocalIterator():
@@ -155,7 +157,7 @@ def take(docs: DataFrame, plan: list[tuple[str, int, int]], seed: int = 11) -> D
     """The rows of ``docs(doc_id, size, sources, ...)`` with ``taken``, the words the mix takes of each."""
     schema = T.StructType([T.StructField("p__", T.StringType()), T.StructField("whole__", T.LongType()), T.StructField("cut__", T.LongType())])
     rows = docs.sparkSession.createDataFrame(plan, schema)
-    rows = F.broadcast(rows) if len(plan) <= 10_000 else rows
+    rows = F.broadcast(rows) if len(plan) <= FEW else rows
     pattern = F.coalesce(F.to_json(F.array_sort(F.array_distinct("sources"))), F.lit("[]"))
     joined = docs.withColumn("p__", pattern).join(rows, "p__")
     taken = F.col("size") * (F.col("whole__") + (_order(seed, F.col("doc_id")) < F.col("cut__")).cast("long"))
@@ -172,19 +174,20 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, seed: in
     table gives an empty result. Columns of ``docs`` named as the four are
     replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "sources")
+    docs = docs.drop("size", "source_size", "target", "taken")
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     sizes = {r["source"]: r["size"] for r in rows}
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
     targets = share_targets({s: sizes[s] for s in order}, {s: weights[k % len(weights)] for k, s in enumerate(order)}, share * sum(sizes.values()))
     plan = plan_mix(sized.withColumn("sources", F.array("source")), targets, seed)
-    full = docs.withColumn("size", word_count(F.col("text")))
-    taken = take(full.withColumn("sources", F.array("source")), plan, seed).drop("sources")
+    full = docs.select(F.struct(*docs.columns).alias("row__"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.array("source").alias("sources"))
+    taken = take(full, plan, seed)
     schema = T.StructType([T.StructField("s__", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     known = docs.sparkSession.createDataFrame([(s, sizes[s], targets[s]) for s in order], schema)
-    known = F.broadcast(known) if len(order) <= 10_000 else known
-    return taken.join(known, F.col("source").eqNullSafe(F.col("s__"))).select(*docs.columns, "size", "source_size", "target", "taken")
+    known = F.broadcast(known) if len(order) <= FEW else known
+    out = taken.join(known, F.col("source").eqNullSafe(F.col("s__")))
+    return out.select(*[F.col("row__").getField(c).alias(c) for c in docs.columns], "size", "source_size", "target", "taken")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

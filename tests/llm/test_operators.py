@@ -122,7 +122,7 @@ def test_language(spark, docs, empty):
 
 def test_lm(spark, docs):
     held = F.coalesce(base.crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
-    got = context_tree.score_texts(docs, held, context_tree.Tree(contexts=500)).collect()
+    got = context_tree.score_texts(docs, held).collect()
     counts = collections.Counter()
     for i, t, *_ in DOCS:
         if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
@@ -135,11 +135,54 @@ def test_lm(spark, docs):
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 5)) for r in got) == want
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
     assert context_tree.score_texts(docs, F.lit(True)).where("n_known <> 0").count() == 0
-
-
-def test_tree_sums_to_one():
-    children, logs = context_tree.build_model(([0, 0, 1, 1, 2], [0, 0, 97, 98, 97 << 8 | 98], [97, 98, 98, 97, 97], [5, 4, 4, 3, 2]), context_tree.Tree())
-    assert np.allclose((10.0 ** logs.astype(float)).sum(axis=1), 1, atol=1e-4) and children[0, 97] == 1
+    assert context_tree.score_texts(docs.limit(0), F.lit(False)).count() == 0
+
+
+def brute_tree(texts, train, depth):
+    """log10 P of each text by the tree of all contexts, node by node: estimates and weights from the texts of ``train``."""
+    data = [bytes(depth) + t.encode().lower() + b"\0" for t in texts]
+    counts = collections.defaultdict(lambda: [0, 0])
+    walk = lambda raw: [(raw[i - depth : i], [(1 << k | raw[i] >> (8 - k), raw[i] >> (7 - k) & 1) for k in range(8)]) for i in range(depth, len(raw))]
+    for raw, some in zip(data, train):
+        for ctx, path in walk(raw) if some else []:
+            for node, bit in path:
+                for d in range(depth + 1):
+                    counts[ctx[depth - d :], node][bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    longer = collections.defaultdict(set)
+    for ctx, node in list(counts):
+        if ctx:
+            longer[ctx[1:], node].add((ctx, node))
+    memo = {}
+
+    def whole(key):
+        if key not in memo:
+            own = kt(*counts[key]) if key in counts else 0.0
+            memo[key] = own if len(key[0]) == depth else np.logaddexp(own, sum(whole(k) for k in longer[key])) - math.log(2)
+        return memo[key]
+
+    def ahead(key_ctx, node, d):
+        n0, n1 = counts.get((key_ctx[depth - d :], node), (0, 0))
+        own = (n1 + 0.5) / (n0 + n1 + 1)
+        if d == depth:
+            return own
+        key = (key_ctx[depth - d :], node)
+        w = math.exp((kt(n0, n1) if key in counts else 0.0) - math.log(2) - whole(key))
+        return w * own + (1 - w) * ahead(key_ctx, node, d + 1)
+
+    return [sum(math.log10(p if bit else 1 - p) for ctx, path in walk(raw) for node, bit in path for p in [ahead(ctx, node, 0)]) for raw in data]
+
+
+@pytest.mark.parametrize("depth, split, block", [(3, 2, 4_000_000), (5, 2, 40), (4, 1, 25)])
+def test_tree_against_brute_force(spark, depth, split, block):
+    """All contexts, a model of one block or of several, texts not learned from included."""
+    texts = ["banana bandana", "Ban the banana", "", "an", "nothing like it", "ban ban ban ban"]
+    train = [True, True, True, False, False, True]
+    tree = context_tree.Tree(depth=depth, split=split, block=block)
+    df = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(zip(texts, train))], "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r["score"] for r in context_tree.model_scores(df, context_tree.train(df, tree), tree, "doc_id").collect()}
+    want = brute_tree(texts, train, depth)
+    assert all(abs(got[k] - w) < 1e-4 * max(1, abs(w)) for k, w in enumerate(want))
 
 
 def test_lines(spark, docs, empty):
@@ -254,3 +297,65 @@ def test_licences(spark):
     files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c.py", "code code"), (3, "a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3."), (4, "d/e.py", None), (5, None, ""), (6, "a/b/x.py", "Licensed under CC BY 4.0.\n" + "word " * 50)]
     got = {r["id"]: (r["licence"], r["effective"], r["from_dir"]) for r in licences.scan_licences(spark.createDataFrame(files, "id long, path string, text string")).collect()}
     assert got == {1: ("MIT", "MIT", None), 2: (None, "GPL-3.0", "a/b"), 3: ("GPL-3.0", "GPL-3.0", None), 4: (None, None, None), 5: (None, None, None), 6: ("CC-BY-4.0", "CC-BY-4.0", None)}
+
+
+def test_licence_of_repeats_and_paragraphs(spark):
+    """A bound that skips a line must hold for it, and a notice may be broken over lines; against every template without the bound."""
+    known, words = licences.Templates(), licences._Words()
+    draw = random.Random(9)
+    vocabulary = [*known.idf, *(f"other{k}" for k in range(40))]
+    for _ in range(400):
+        terms = draw.choices(vocabulary, k=draw.randint(1, 12)) * draw.randint(1, 4)
+        score, name = known.best(terms)
+        assert known.best(terms, 0.75) == ((score, name) if score >= 0.75 else known.best(terms, 0.75)) and (score < 0.75 or known.best(terms, 0.75)[1] == name)
+    text = "All rights reserved. " * 33 + " ".join(f"x{k}" for k in range(800))
+    assert licences.judge(text, known, 0.75, words)[0] == "proprietary"
+    broken = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files\n\ncode"
+    assert licences.judge(broken, known, 0.75, words)[0] == "MIT"
+    files = [(k, f"x/{k % 2}/f{k}", "Released under the MIT License." if k == 4 else "code") for k in range(9)] * 2
+    got = collections.Counter((r["id"], r["effective"]) for r in licences.scan_licences(spark.createDataFrame(files, "id long, path string, text string").withColumn("dir__", F.lit(1))).collect())
+    assert got == {(k, None if k % 2 else "MIT"): 2 for k in range(9)}
+    assert licences.scan_licences(spark.createDataFrame([], "id long, path string, text string")).count() == 0
+
+
+def test_leaks_of_items_of_one_id(spark):
+    items = spark.createDataFrame([(7, "one two three four five"), (7, "six seven eight nine ten"), (None, "uno dos tres cuatro cinco")], "item_id int, text string")
+    rows = spark.createDataFrame([("a", "x one two three four five"), ("b", "six seven eight nine ten y"), (None, "uno dos tres cuatro cinco"), ("d", None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(rows, items).collect()} == {("a", 7), ("b", 7), (None, None)}
+
+
+def test_bundle_of_short_and_long_texts():
+    profile = hyper_lang.Profile(part=7)
+    texts = ["banana", "", "the quick brown fox jumps over the lazy dog " * 3, "ab", "zebra crossing"] * 3
+    for _, n, distinct, owner, place, counts in hyper_lang._counted(texts, profile):
+        dense = np.zeros((n, len(distinct)))
+        dense[owner, place] = counts
+        want = dense @ hyper_lang.gram_vectors(distinct, profile).astype(float)
+        assert np.allclose(hyper_lang.bundle(n, distinct, owner, place, counts, profile), want)
+
+
+def test_links_against_every_pair(spark):
+    draw = random.Random(12)
+    values = list({draw.getrandbits(63) for _ in range(40)})
+    for _ in range(160):
+        values.append(draw.choice(values) ^ (1 << draw.randrange(63)) ^ (1 << draw.randrange(63)))
+    values = sorted(set(values))
+    label = {v: v for v in values}
+    for a in values:
+        for b in values:
+            if a < b and (a ^ b).bit_count() <= 2 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    got = {r["node"]: r["label"] for r in base.connected_components(simhash.link_fingerprints(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
+    assert {v: got.get(v, v) for v in values} == label
+
+
+def test_mix_comes_near_its_targets(spark):
+    draw = random.Random(5)
+    rows = [(k, "w " * draw.randint(1, 30), draw.choice("abc")) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("sources", F.lit("mine"))
+    got = mixing.mix_sources(df).collect()
+    for s in "abc":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 30 and own[0]["sources"] == "mine"
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(df.repartition(3)).collect()))
