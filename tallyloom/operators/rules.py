@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import percent_delta
-from ..functions.similarity import text_similarity
+from ..functions.numbers import parse_number, percent_delta
+from ..functions.similarity import text_similarities, text_similarity
 from ..functions.text import normalize_name, normalize_unit
 from .compare import RANK, numeric_difference
 
@@ -116,6 +116,34 @@ def quality_findings(flags: Column, side: str) -> Column:
     return F.coalesce(F.transform(flags, one), F.array().cast(f"array<{FINDING}>"))
 
 
+def technical_findings(r: str = "r", c: str = "c") -> Column:
+    """A finding for every name of a technical map that differs: numbers by shares where both sides are plain numbers, else texts.
+
+    Names are normalised; of equal ones the first counts. Values with letters
+    or / x % < > are no plain numbers.
+    """
+    keyed = lambda m: F.transform(F.map_entries(F.coalesce(F.col(m), F.create_map().cast("map<string,string>"))), lambda e: F.struct(normalize_name(e["key"]).alias("k"), e["key"].alias("name"), F.trim(e["value"]).alias("v")))
+    at = lambda side, k: F.get(F.filter(side, lambda e: e["k"] == k), 0)
+    a, b = keyed(f"{r}.technical"), keyed(f"{c}.technical")
+    names = F.array_distinct(F.concat(F.transform(a, lambda e: e["k"]), F.transform(b, lambda e: e["k"])))
+    values = lambda side: F.transform(names, lambda k: normalize_name(at(side, k)["v"]))
+    pairs = F.arrays_zip(names.alias("k"), text_similarities(values(a), values(b)).alias("alike"))
+
+    def one(pair: Column) -> Column:
+        k, alike = pair["k"], pair["alike"]
+        x, y = at(a, k)["v"], at(b, k)["v"]
+        number = lambda v: F.when(~v.rlike(r"[\p{L}/×%<>]"), parse_number(v))
+        p, q = number(x), number(y)
+        plain = p.isNotNull() & q.isNotNull()
+        numeric = F.when((F.abs(percent_delta(p, q)) >= 0.05) | ((p == 0) & (q != 0)), "WARNING")
+        textual = F.when(blank(x) & blank(y), None).when(blank(x) | blank(y), "REVIEW").when(alike < 0.65, "WARNING").when(alike < 0.90, "REVIEW")
+        severity = F.when(plain, numeric).otherwise(textual)
+        points = F.when(plain | (severity == "WARNING"), 7.0).otherwise(3.0)
+        return finding(F.concat(F.lit("technical "), F.coalesce(at(a, k)["name"], at(b, k)["name"])), severity, points, x, y, F.when(plain, q - p), F.when(plain, percent_delta(p, q)), F.when(~plain, alike))
+
+    return F.array_compact(F.transform(pairs, one))
+
+
 def with_verdict(rows: DataFrame, findings: str = "findings") -> DataFrame:
     """Adds severity (the worst, OK without findings) and anomaly_score (the sum of points, 100 at most)."""
     ranks = F.transform(findings, lambda f: F.array_position(F.array(*map(F.lit, RANK)), f["severity"]))
@@ -124,19 +152,19 @@ def with_verdict(rows: DataFrame, findings: str = "findings") -> DataFrame:
     return rows.withColumn("severity", worst).withColumn("anomaly_score", F.least(F.lit(100.0), total))
 
 
-def compare_rows(pairs: DataFrame, catalogue: bool = False) -> DataFrame:
+def compare_rows(pairs: DataFrame, catalogue: bool = False, technical: bool = False) -> DataFrame:
     """Adds findings, notes, severity and anomaly_score to ``pairs(r, c, kind, score, lexical_score)``.
 
     ``r`` and ``c`` are structs of the same fields; a null ``c`` is a missing
     item, a null ``r`` an extra one, and such rows get that finding alone.
     ``catalogue`` compares quantities with an official list that has no prices,
-    otherwise attributes, quantities and prices are compared. Another sheet is
-    a note only. No shuffle: every rule looks at one row.
+    otherwise attributes, quantities and prices are compared; ``technical``
+    compares maps of technical data as well. Another sheet is a note only. No shuffle: every rule looks at one row.
     """
     flags = F.concat(quality_findings(F.col("r.data_quality_flags"), "reference"), quality_findings(F.col("c.data_quality_flags"), "candidate"))
     rules = (*TEXT_RULES, *(CATALOGUE_RULES if catalogue else FULL_RULES))
     found = [name_finding(), unit_finding(), *(text_finding(x) if isinstance(x, Text) else number_finding(x) for x in rules)]
-    matched = F.concat(F.array_compact(F.array(*found)), flags)
+    matched = F.concat(F.array_compact(F.array(*found)), *([technical_findings()] if technical else []), flags)
     alone = {k: F.array(finding(k, F.lit(s), F.lit(p), F.col("r.item_name"), F.col("c.item_name"))) for k, (s, p) in ROW_POINTS.items()}
     findings = F.when(F.col("c").isNull(), alone["missing"]).when(F.col("r").isNull(), alone["extra"]).otherwise(matched)
     moved = F.lower("r.sheet") != F.lower("c.sheet")

@@ -429,7 +429,7 @@ def peer_edges(spark, sf_dir):
 def greedy_assignment(spark, sf_dir):
     """Suppliers and parts paired one to one, the dearest line first."""
     pairs = read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("score"))
-    return match.assign_one_to_one(pairs, "l_partkey", "l_suppkey", [F.desc("score"), F.col("l_partkey"), F.col("l_suppkey")])
+    return match.assign_one_to_one(pairs, "l_partkey", "l_suppkey", [-F.col("score"), F.col("l_partkey"), F.col("l_suppkey")])
 
 
 @query()

@@ -42,14 +42,14 @@ def test_greedy_assignment(spark):
         if ("a", a) not in used and ("b", b) not in used:
             used |= {("a", a), ("b", b)}
             want.add((a, b))
-    got = match.assign_one_to_one(spark.createDataFrame(pairs, "a int, b int, s int"), "a", "b", [F.desc("s"), F.col("a"), F.col("b")])
+    got = match.assign_one_to_one(spark.createDataFrame(pairs, "a int, b int, s int"), "a", "b", [-F.col("s"), F.col("a"), F.col("b")])
     assert {(r["a"], r["b"]) for r in got.collect()} == want
 
 
 def test_greedy_assignment_of_tied_rows(spark):
     """Rows of one key on both sides, all of one score, settle one pair a round; none stays unmatched."""
     pairs = spark.range(33).select(F.col("id").alias("a")).crossJoin(spark.range(33).select(F.col("id").alias("b"))).withColumn("s", F.lit(1)).coalesce(1)
-    got = match.assign_one_to_one(pairs, "a", "b", [F.desc("s"), F.col("a"), F.col("b")])
+    got = match.assign_one_to_one(pairs, "a", "b", [-F.col("s"), F.col("a"), F.col("b")])
     assert sorted((r["a"], r["b"]) for r in got.collect()) == [(k, k) for k in range(33)]
 
 
