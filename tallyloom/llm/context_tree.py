@@ -215,6 +215,31 @@ def train(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     return materialize(_by_suffix(counts, tree, predicted, "gram long, logp float"), "model")
 
 
+class _Lookup:
+    """Values of sorted codes, 0 for others: most by one look at a table of hashes, those that lost their place there by search."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(4 * max(1, len(codes)))))))
+        self.keys = np.full(1 << int(64 - self.shift), -1, np.int64)
+        self.held = np.zeros(len(self.keys), np.float32)
+        place = self._place(codes)
+        self.keys[place], self.held[place] = codes, values
+        lost = self.keys[place] != codes
+        self.codes, self.values = codes[lost], values[lost]
+
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        place = self._place(wanted)
+        hit = self.keys[place] == wanted
+        out = np.where(hit, self.held[place], np.float32(0))
+        if len(self.codes) and len(rest := np.nonzero(~hit)[0]):
+            at = np.minimum(np.searchsorted(self.codes, wanted[rest]), len(self.codes) - 1)
+            out[rest] = np.where(self.codes[at] == wanted[rest], self.values[at], np.float32(0))
+        return out
+
+
 def _blocks(model: DataFrame, tree: Tree):
     """(runs in order, their logp) of the model, at most about ``block`` of them at once."""
     parts = max(1, -(-model.count() // tree.block))
@@ -243,17 +268,14 @@ def model_scores(docs: DataFrame, model: DataFrame, tree: Tree, *keep: str) -> D
         def run(batches, shared=shared):
             import pyarrow as pa
 
-            codes, logs = shared.value
+            found = _Lookup(*shared.value)
             for batch in batches:
                 sizes, scores = [], []
                 for _, part in _pieces(batch.column(len(fields)).to_pylist(), chunk):
                     flat, starts = _bytes(part, depth)
                     here = _targets(flat, starts, depth)
-                    wanted = _codes(flat, depth)[here]
-                    at = np.minimum(np.searchsorted(codes, wanted), max(0, len(codes) - 1))
                     value = np.zeros(len(flat))
-                    if len(codes):
-                        value[here] = np.where(codes[at] == wanted, logs[at], np.float32(0))
+                    value[here] = found(_codes(flat, depth)[here])
                     scores.append(np.add.reduceat(value, starts))
                     sizes.append(np.diff(np.append(starts, len(flat) + depth)) - depth - 1)
                 before = batch.column(len(fields) + 2).to_numpy()
