@@ -241,9 +241,12 @@ def _gathered(cells: DataFrame, bid: bool, max_rows: int) -> DataFrame:
     heads = columns.groupBy("workbook", "sheet").agg(F.max("header_end").alias("header_end"), F.max((F.col("field") == "unit_price_total").cast("int")).alias("prices"), F.max(F.col("field").isin("reference_amount", "bid_amount").cast("int")).alias("amounts"))
     body = cells.where("kind <> 'unreadable'").join(heads, ["workbook", "sheet"]).where("row_number > header_end")
     body = body.join(columns.select("workbook", "sheet", "column_number", "field", "label"), ["workbook", "sheet", "column_number"], "left")
+    # A number is parsed once a cell, not once a field: the expression is large.
+    parsed = F.when(F.col("kind") == "number", F.col("number")).when(F.col("field").isin(*NUMBER_FIELDS), parse_number(F.trim(F.coalesce("text", F.lit("")))))
+    body = body.select("*", F.inline(F.array(F.struct(parsed.alias("parsed")))))
     text = F.trim(F.coalesce("text", F.lit("")))
     of = lambda f, value: F.max(F.when(F.col("field") == f, value))
-    number = lambda f: F.coalesce(of(f, F.when(F.col("kind") == "number", F.col("number"))), parse_number(of(f, F.when(F.col("kind") != "number", text))))
+    number = lambda f: of(f, F.col("parsed"))
     ordered = F.array_sort(F.collect_list(F.when(text != "", F.struct(F.col("column_number").alias("c"), text.alias("t"), F.col("field").alias("f"), F.col("label").alias("l")))))
     rows = body.groupBy("workbook", "sheet", "row_number", "header_end", "prices", "amounts").agg(*[F.coalesce(of(f, text), F.lit("")).alias(f) for f in TEXT_FIELDS], *[number(f).alias(f) for f in NUMBER_FIELDS], ordered.alias("filled"))
     rows = rows.where(F.size("filled") > 0).withColumn("numbering", numbering_row(F.transform("filled", lambda x: x["t"])))

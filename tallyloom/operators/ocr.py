@@ -156,7 +156,8 @@ def assemble_rows(cells: DataFrame, *table: str, tolerance: float = 0.005) -> Da
     text = lambda f: F.coalesce(F.max(F.when(F.col("field") == f, F.trim("text"))), F.lit(""))
     fields = [f for f in HEADERS if f not in NUMERIC]
     reasons = F.array_compact(F.collect_list(F.when(F.coalesce("reason", F.lit("")) != "", F.concat_ws(": ", "field", "reason"))))
-    rows = cells.groupBy(*table, "row").agg(*[text(f).alias(f) for f in fields], *[parse_number(text(f)).alias(f) for f in NUMERIC], F.coalesce(F.min(F.when(F.col("text") != "", F.col("confidence"))), F.lit(0.0)).alias("confidence"), F.array_sort(reasons).alias("flags"))
+    cells = cells.withColumn("parsed__", F.when(F.col("field").isin(*NUMERIC), parse_number(F.col("text"))))
+    rows = cells.groupBy(*table, "row").agg(*[text(f).alias(f) for f in fields], *[F.max(F.when(F.col("field") == f, F.col("parsed__"))).alias(f) for f in NUMERIC], F.coalesce(F.min(F.when(F.col("text") != "", F.col("confidence"))), F.lit(0.0)).alias("confidence"), F.array_sort(reasons).alias("flags"))
     figure = F.coalesce(*map(F.col, NUMERIC)).isNotNull()
     rows = rows.where(figure | (F.concat(*fields) != "")).withColumn("is_group", (F.col("item_name") != "") & ~figure)
     total = sum((F.coalesce(F.col(p), F.lit(0.0)) for p in PARTS[1:]), F.coalesce(F.col(PARTS[0]), F.lit(0.0)))

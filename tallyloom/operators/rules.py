@@ -129,19 +129,21 @@ def technical_findings(r: str = "r", c: str = "c") -> Column:
     values = lambda side: F.transform(names, lambda k: normalize_name(at(side, k)["v"]))
     pairs = F.arrays_zip(names.alias("k"), text_similarities(values(a), values(b)).alias("alike"))
 
-    def one(pair: Column) -> Column:
-        k, alike = pair["k"], pair["alike"]
-        x, y = at(a, k)["v"], at(b, k)["v"]
-        number = lambda v: F.when(~v.rlike(r"[\p{L}/×%<>]"), parse_number(v))
-        p, q = number(x), number(y)
+    number = lambda v: F.when(~v.rlike(r"[\p{L}/×%<>]"), parse_number(v))
+    named = F.transform(pairs, lambda z: F.struct(F.coalesce(at(a, z["k"])["name"], at(b, z["k"])["name"]).alias("name"), at(a, z["k"])["v"].alias("x"), at(b, z["k"])["v"].alias("y"), z["alike"].alias("alike")))
+    # The large expression of a number stands once a side; what follows reads fields.
+    read = F.transform(named, lambda z: F.struct(z["name"].alias("name"), z["x"].alias("x"), z["y"].alias("y"), z["alike"].alias("alike"), number(z["x"]).alias("p"), number(z["y"]).alias("q")))
+
+    def one(z: Column) -> Column:
+        x, y, p, q = z["x"], z["y"], z["p"], z["q"]
         plain = p.isNotNull() & q.isNotNull()
         numeric = F.when((F.abs(percent_delta(p, q)) >= 0.05) | ((p == 0) & (q != 0)), "WARNING")
-        textual = F.when(blank(x) & blank(y), None).when(blank(x) | blank(y), "REVIEW").when(alike < 0.65, "WARNING").when(alike < 0.90, "REVIEW")
+        textual = F.when(blank(x) & blank(y), None).when(blank(x) | blank(y), "REVIEW").when(z["alike"] < 0.65, "WARNING").when(z["alike"] < 0.90, "REVIEW")
         severity = F.when(plain, numeric).otherwise(textual)
         points = F.when(plain | (severity == "WARNING"), 7.0).otherwise(3.0)
-        return finding(F.concat(F.lit("technical "), F.coalesce(at(a, k)["name"], at(b, k)["name"])), severity, points, x, y, F.when(plain, q - p), F.when(plain, percent_delta(p, q)), F.when(~plain, alike))
+        return finding(F.concat(F.lit("technical "), z["name"]), severity, points, x, y, F.when(plain, q - p), F.when(plain, percent_delta(p, q)), F.when(~plain, z["alike"]))
 
-    return F.array_compact(F.transform(pairs, one))
+    return F.array_compact(F.transform(read, one))
 
 
 def with_verdict(rows: DataFrame, findings: str = "findings") -> DataFrame:

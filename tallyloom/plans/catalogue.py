@@ -144,8 +144,7 @@ def missing_items(spark, sf_dir):
     """Parts that no supplier of a region offers: every bidder region against the whole catalogue."""
     place = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
     offered = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct().join(place, F.col("l_suppkey") == F.col("s_suppkey"))
-    regions = F.array(*[F.lit(r["r_name"]) for r in read(spark, sf_dir, "region").orderBy("r_name").collect()])
-    wanted = read(spark, sf_dir, "part").select("p_partkey", F.explode(regions).alias("r_name"))
+    wanted = read(spark, sf_dir, "part").select("p_partkey").join(F.broadcast(read(spark, sf_dir, "region").select("r_name").distinct()), F.lit(True))
     return match.missing(wanted, offered, ["p_partkey", "r_name"])
 
 
@@ -382,14 +381,6 @@ def ocr_equation_pick(spark, sf_dir):
     return lines.select("l_orderkey", "l_linenumber", F.array_min(F.array(*[option(d) for d in (0, 1, -1)]))["q"].alias("quantity"))
 
 
-@query("""SELECT item_id, levenshtein(left(text, 200), left(reverse(text), 200)) AS distance, round(levenshtein(left(text, 200), left(reverse(text), 200)) / greatest(length(left(text, 200)), 1), 6) AS cer FROM benchmark WHERE text = strip_accents(text)""")
-def cer_eval(spark, sf_dir):
-    """Character error rate of the plain-letter items read backwards."""
-    b = read(spark, sf_dir, "benchmark").where(F.col("text") == text.strip_accents(F.col("text")))
-    a, r = F.substring("text", 1, 200), F.substring(F.reverse("text"), 1, 200)
-    return b.select("item_id", F.levenshtein(a, r).alias("distance"), F.round(F.levenshtein(a, r) / F.greatest(F.length(a), F.lit(1)), 6).alias("cer"))
-
-
 @query()
 def cer_whole_texts(spark, sf_dir):
     """Character error rate over the whole texts of all items read backwards, all edits by all characters of the items."""

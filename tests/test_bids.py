@@ -48,10 +48,10 @@ def compared(spark, invited, offers):
 
 
 def test_header():
-    rows = {1: {0: "Bảng giá"}, 2: {0: "STT", 1: "Nội dung công việc", 2: "Đơn giá", 4: "Ghi chú"}, 3: {2: "VL chính", 3: "VL phụ"}, 4: {0: "1", 1: "x"}}
+    rows = {1: {0: "Bảng giá"}, 2: {0: "STT", 1: "Nội dung công việc", 2: "Đơn giá", 4: "Ghi chú"}, 3: {2: "Khối lượng", 3: "VL phụ"}, 4: {0: "1", 1: "x"}}
     start, end, labels = items.find_header(rows)
     assert (start, end) == (2, 3) and labels[3] == "Đơn giá | VL phụ"
-    assert {c: f for c, (f, _) in items.name_columns(labels, True).items()} == {0: "stt", 1: "item_name", 2: "price_main", 3: "price_aux", 4: "note"}
+    assert {c: f for c, (f, _) in items.name_columns(labels, True).items()} == {0: "stt", 1: "item_name", 2: "unit_price_total", 3: "price_aux", 4: "note"}
     assert items.find_header({1: {0: "a", 1: "b"}}) is None and items.find_header({}) is None
     named = items.name_columns(["TT", "Hạng mục", "ĐV", "SL", "Giá", "Tầng 3", "KL mời thầu lần 2", "KL mời thầu"], False)
     assert {c: f for c, (f, _) in named.items()} == {0: "stt", 1: "item_name", 2: "unit", 4: "unit_price_total", 5: "technical", 6: "reference_quantity"}
@@ -119,7 +119,8 @@ def test_compliance():
     assert c("", "", [], "Chủ đầu tư cấp", ["A"], []) == (requirements.OWNER, [])
     assert c("Rạng Đông", "China", [], "x", ["Rang Dong"], ["Châu Á"])[0] == requirements.COMPLIES
     assert c("Khac Han", "", [], "x", ["Rang Dong"], [])[0] == requirements.REVIEW and c("", "", ["maker rang dong"], "x", ["Rang Dong"], [])[0] == requirements.COMPLIES
-    assert requirements.requirement_score("cap dien xlpe pvc", "day cap ha the") > requirements.requirement_score("cap dien xlpe pvc", "ong luon day dien pvc")
+    score = requirements.requirement_score
+    assert score("", "ong gio") == 0.0 and score("ong pvc luon day", "ong luon day pvc") > score("ong pvc luon day", "thang mang cap") and score("tu dien msb", "tu dien ha the") > 0.9
 
 
 def test_peers(spark, offers):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import clusters, compare, match
-from tallyloom.plans import catalogue
+from tallyloom.plans import bids, catalogue  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
