@@ -92,10 +92,3 @@ def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """0.55 weighted and 0.45 token-set ratio, of 1; 1 if both are blank, 0 if one is."""
     each = (1.0 if not x and not y else 0.0 if not x or not y else (0.55 * weighted_ratio(x, y) + 0.45 * token_set_ratio(x, y)) / 100 for x, y in zip(a.fillna(""), b.fillna("")))
     return pd.Series(list(each), dtype="float64")
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def text_similarities(a: pd.Series, b: pd.Series) -> pd.Series:
-    """:func:`text_similarity` of the elements of two arrays of one length."""
-    one = lambda x, y: 1.0 if not x and not y else 0.0 if not x or not y else (0.55 * weighted_ratio(x, y) + 0.45 * token_set_ratio(x, y)) / 100
-    return pd.Series([[one(x, y) for x, y in zip(p, q)] for p, q in zip(a, b)])

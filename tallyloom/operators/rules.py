@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number, percent_delta
-from ..functions.similarity import text_similarities, text_similarity
+from ..functions.similarity import text_similarity
 from ..functions.text import normalize_name, normalize_unit
 from .compare import RANK, numeric_difference
 
@@ -116,19 +116,32 @@ def quality_findings(flags: Column, side: str) -> Column:
     return F.coalesce(F.transform(flags, one), F.array().cast(f"array<{FINDING}>"))
 
 
+def _technical(side: str) -> Column:
+    return F.transform(F.map_entries(F.coalesce(F.col(f"{side}.technical"), F.create_map().cast("map<string,string>"))), lambda e: F.struct(normalize_name(e["key"]).alias("k"), e["key"].alias("name"), F.trim(e["value"]).alias("v")))
+
+
+def _technical_names(r: str, c: str) -> Column:
+    return F.array_distinct(F.concat(F.transform(_technical(r), lambda e: e["k"]), F.transform(_technical(c), lambda e: e["k"])))
+
+
+def _at(side: Column, k: Column) -> Column:
+    return F.get(F.filter(side, lambda e: e["k"] == k), 0)
+
+
+def _word_likeness(a: Column, b: Column) -> Column:
+    """1 for equal normalised texts, else the share of words that both have; made without Python, which cannot be called within lambdas."""
+    x, y = (F.split(F.coalesce(normalize_name(t), F.lit("")), " ") for t in (a, b))
+    return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+
+
 def technical_findings(r: str = "r", c: str = "c") -> Column:
-    """A finding for every name of a technical map that differs: numbers by shares where both sides are plain numbers, else texts.
+    """A finding for every name of a technical map that differs, numbers by shares where both sides are plain numbers, else texts by their words.
 
     Names are normalised; of equal ones the first counts. Values with letters
     or / x % < > are no plain numbers.
     """
-    keyed = lambda m: F.transform(F.map_entries(F.coalesce(F.col(m), F.create_map().cast("map<string,string>"))), lambda e: F.struct(normalize_name(e["key"]).alias("k"), e["key"].alias("name"), F.trim(e["value"]).alias("v")))
-    at = lambda side, k: F.get(F.filter(side, lambda e: e["k"] == k), 0)
-    a, b = keyed(f"{r}.technical"), keyed(f"{c}.technical")
-    names = F.array_distinct(F.concat(F.transform(a, lambda e: e["k"]), F.transform(b, lambda e: e["k"])))
-    values = lambda side: F.transform(names, lambda k: normalize_name(at(side, k)["v"]))
-    pairs = F.arrays_zip(names.alias("k"), text_similarities(values(a), values(b)).alias("alike"))
-
+    a, b, at = _technical(r), _technical(c), _at
+    pairs = F.transform(_technical_names(r, c), lambda k: F.struct(k.alias("k"), _word_likeness(at(a, k)["v"], at(b, k)["v"]).alias("alike")))
     number = lambda v: F.when(~v.rlike(r"[\p{L}/×%<>]"), parse_number(v))
     named = F.transform(pairs, lambda z: F.struct(F.coalesce(at(a, z["k"])["name"], at(b, z["k"])["name"]).alias("name"), at(a, z["k"])["v"].alias("x"), at(b, z["k"])["v"].alias("y"), z["alike"].alias("alike")))
     # The large expression of a number stands once a side; what follows reads fields.
