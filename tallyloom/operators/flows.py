@@ -43,8 +43,9 @@ def paired(reference: DataFrame, offers: DataFrame, settings: Settings = Setting
     left = reference.drop("bidder").crossJoin(F.broadcast(bidders)).withColumns({"pair": F.col("bidder"), "own_id": F.col("item_id"), "item_id": F.concat_ws("#", "item_id", "bidder")})
     right = offers.withColumn("pair", F.col("bidder"))
     matches = match_items(left, right, settings)
-    r = left.select(F.col("item_id").alias("r_id"), F.struct(*[c for c in left.columns if c not in ("pair", "own_id", "bidder")]).alias("r"))
-    c = right.select(F.col("item_id").alias("c_id"), F.struct(*[c for c in right.columns if c != "pair"]).alias("c"))
+    shared = [c for c in offers.columns if c in reference.columns and c not in ("pair", "bidder")]  # both structs of one type
+    r = left.select(F.col("item_id").alias("r_id"), F.struct(*shared).alias("r"))
+    c = right.select(F.col("item_id").alias("c_id"), F.struct(*shared).alias("c"))
     both = matches.join(r, "r_id", "left").join(c, "c_id", "left")
     either = lambda f: F.coalesce(F.col(f"r.{f}"), F.col(f"c.{f}"))
     ordinal = F.coalesce(F.col("r.row_number"), F.col("c.row_number") + 1_000_000)
