@@ -93,7 +93,7 @@ def test_compare(compared, invited):
     assert flows.unmatched(compared).count() == 4 and flows.preview(compared, 2).count() == 2
     flat = flows.flat_rows(compared)
     assert flat.where("bidder = 'alpha' and item_name = 'Cáp ngầm XLPE'").first()["amount_delta_pct"] == pytest.approx(-1 / 501)
-    assert {r["bidder"]: (r["fill_ratio"], r["looks_like"]) for r in flows.price_fill_ratio(compared.where("c is not null").select("c.*")).collect()}["alpha"] == (1.0, "offer")
+    assert {r["bidder"]: (r["fill_ratio"], r["looks_like"]) for r in flows.price_fill_ratio(compared.where("c is not null").select("bidder", "c.*")).collect()}["alpha"] == (1.0, "offer")
 
 
 def test_quotes(compared):
