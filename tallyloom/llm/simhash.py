@@ -230,37 +230,71 @@ def _near_texts(pairs: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
     return map_batches(both, run, "a binary, b binary")
 
 
+def _hot_pairs(hot: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """All pairs (a, b) of keys of ``hot(key, part, outside)``, one of them outside, that could be near and are of two parts.
+
+    The exact way for long posting lists: with the runs of words of every
+    text in one order, the rarest first, two near texts share one among the
+    first k - least * k + 1 of their k, and what follows in both must suffice
+    for the overlap that ``least`` asks for.
+    """
+    wanted = F.broadcast(hot) if hot.count() <= near.broadcast else hot
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(wanted, "key").groupBy("key", "part", "outside").agg(F.first("text").alias("text"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = _Hashes()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                runs = np.unique(_runs(byte_words(batch.column(3)[at].as_py()), near.size, hashes)).view(np.int64)
+                of = pa.array(np.full(len(runs), at, np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(np.full(len(runs), len(runs), np.int32)), pa.array(runs)], ["key", "part", "outside", "k", "h"])
+
+    rows = materialize(map_batches(texts, run, "key binary, part binary, outside boolean, k int, h long"), "runs")
+    seen = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    ranked = rows.join(seen, "h").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("df", "h")))
+    first = ranked.where((F.col("df") > 1) & (F.col("at") <= F.col("k") - F.ceil(near.least * F.col("k") - 1e-9) + 1))
+    first = materialize(first.select("h", "key", "part", "outside", "k", "at"), "first")
+    x = first.where("outside").select("h", *[F.col(c).alias(f"x_{c}") for c in ("key", "part", "k", "at")])
+    need = F.lit(near.least / (1 + near.least)) * (F.col("k") + F.col("x_k")) - 1e-9
+    fits = (F.col("part") != F.col("x_part")) & (1 + F.least(F.col("k") - F.col("at"), F.col("x_k") - F.col("x_at")) >= need)
+    return first.join(x, "h").where(fits).select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(node, label): the key (:func:`text_key`) of every text near another, and the smallest key of its class.
 
     Postings of three positional bytes bring texts together, a tally of all
-    positional bytes and then the exact Jaccard of whole texts decide. A list
-    of more than ``paired`` texts is compared with its first; those not linked
-    to it by then form a list of their own, and so on until lists are short,
-    so that a family of thousands of copies never meets in all pairs and no
-    link that could join two classes is left out.
+    positional bytes and then the exact Jaccard of whole texts decide. Lists
+    of up to ``paired`` texts are compared pair by pair, longer ones with their
+    first. Texts that these edges put into the class of that first need no
+    more; those outside are compared with all texts of long lists that are of
+    another class, see :func:`_hot_pairs`. So a family of thousands of copies
+    never meets in all pairs, and no link that could join two classes is left
+    out.
     """
     fps = materialize(wide_fingerprints(docs, near), "wide")
     posts = fps.select("key", F.explode("posts").alias("post"))
     sizes = posts.groupBy("post").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("lead")).where("c > 1")
     posts = materialize(posts.join(sizes, "post"), "posts")
-    labels = fps.select(F.col("key").alias("node"), F.col("key").alias("label")).limit(0)
-    while True:
-        few = posts.where(F.col("c") <= near.paired)
-        met = few.select("post", F.col("key").alias("a")).join(few.select("post", F.col("key").alias("b")), "post").where("a < b").select("a", "b")
-        led = posts.where((F.col("c") > near.paired) & (F.col("key") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("key").alias("b"))
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_l"))  # noqa: E731, B023
-        pairs = met.unionByName(led).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).select("a", "b")
-        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("a_l") == F.col("b_l"), F.lit(False))).select("a", "b")
-        edges = materialize(_near_texts(materialize(_enough_bytes(apart, fps, near), "pairs"), docs, near), "edges")
-        labels = join_labels(labels, edges)
-        many = posts.where(F.col("c") > near.paired).select("post", "key", "lead")
-        with_part = many.join(of("key").withColumnRenamed("key_l", "p"), "key", "left").join(labels.select(F.col("node").alias("lead"), F.col("label").alias("lp")), "lead", "left")
-        rest = with_part.where((F.col("key") != F.col("lead")) & (F.coalesce("p", "key") != F.coalesce("lp", "lead"))).select("post", "key")
-        again = rest.groupBy("post").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("lead")).where("c > 1")
-        posts = materialize(rest.join(again, "post"), "posts")
-        if posts.isEmpty():
-            return labels
+    few, many = posts.where(F.col("c") <= near.paired), posts.where(F.col("c") > near.paired)
+    met = few.select("post", F.col("key").alias("a")).join(few.select("post", F.col("key").alias("b")), "post").where("a < b").select("a", "b")
+    led = many.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    pairs = materialize(_enough_bytes(met.unionByName(led).distinct(), fps, near), "pairs")
+    labels = connected_components(materialize(_near_texts(pairs, docs, near), "edges"))
+    if many.isEmpty():
+        return labels
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_part"))
+    placed = many.join(of("key"), "key", "left").join(of("lead"), "lead", "left")
+    placed = placed.select("post", "key", F.coalesce("key_part", "key").alias("part"), (F.coalesce("key_part", "key") != F.coalesce("lead_part", "lead")).alias("outside"))
+    placed = materialize(placed, "placed")
+    mixed = placed.where("outside").select("post").distinct()
+    hot = materialize(placed.join(mixed, "post", "left_semi").groupBy("key", "part").agg(F.max("outside").alias("outside")), "hot")
+    if hot.isEmpty():
+        return labels
+    return join_labels(labels, materialize(_near_texts(materialize(_hot_pairs(hot, docs, near), "pairs"), docs, near), "edges"))
 
 
 def without_near_copies(docs: DataFrame, near: Near = Near()) -> DataFrame:

@@ -73,6 +73,18 @@ def test_near_families(spark):
     assert simhash.without_near_copies(df.limit(0)).count() == 0
 
 
+def test_near_chains(spark):
+    """Chains of shifted texts, near their neighbours alone: lists compared from their first text join all that lists compared in full join, and only near texts."""
+    draw, texts = random.Random(8), []
+    for _ in range(8):
+        own = words(draw, 260)
+        texts += [" ".join(own[k : k + 160]) for k in range(0, 100, 8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = lambda near: {r["doc_id"] for r in simhash.without_near_copies(df, near).collect()}
+    led, full = kept(simhash.Near(triples=12, shared=1, paired=1)), kept(simhash.Near(triples=12, shared=1, paired=1000))
+    assert set(range(0, len(texts), 13)) <= led <= full
+
+
 def test_decontaminate_and_mix(spark, docs, rows, tmp_path):
     taken = " ".join(rows[0][1].split()[20:60])
     spark.createDataFrame([(7, taken), (7, "no such words"), (None, rows[2][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
