@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, crc_mod, map_batches, materialize, table, words
+from .base import crc_mod, map_batches, materialize, table
 
 LOG2 = float(np.log(2))
 
@@ -70,8 +71,11 @@ def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _folded(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return [(keys, np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64))]
+    keys, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(len(keys) > 0, keys[1:] != keys[:-1]))
+    return [(keys[first], np.add.reduceat(n[order], first) if len(first) else n)]
 
 
 def gram_counts(docs: DataFrame, tree: Tree) -> DataFrame:
@@ -87,9 +91,13 @@ def gram_counts(docs: DataFrame, tree: Tree) -> DataFrame:
             for first, part in _pieces(batch.column(0).to_pylist(), chunk):
                 flat, starts = _bytes(part, depth)
                 here = _targets(flat, starts, depth)
-                owner = np.searchsorted(starts, np.nonzero(here)[0], "right") - 1
-                keys, place = np.unique(_codes(flat, depth)[here], return_inverse=True)
-                held.append((keys, np.bincount(place, train[first + owner], len(keys)).astype(np.int64)))
+                # The flag goes below the run, so that one sort of plain numbers does.
+                keys = _codes(flat, depth)[here] << 1
+                keys |= np.repeat(train[first : first + len(part)], np.diff(np.append(starts, len(flat) + depth)) - depth)
+                keys.sort()
+                runs = keys >> 1
+                new = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+                held.append((runs[new], np.add.reduceat(keys & 1, new)))
                 if len(held) == 8:
                     held = _folded(held)
         if held:
@@ -286,24 +294,77 @@ def model_scores(docs: DataFrame, model: DataFrame, tree: Tree, *keep: str) -> D
     return out.drop("text")
 
 
+def _words_of(batch, column: int):
+    """The words of each text of a column as bytes, A-Z lower-cased."""
+    import pyarrow as pa
+
+    for text in batch.column(column).cast(pa.binary()).to_pylist():
+        yield [] if text is None else text.lower().split()
+
+
+def word_counts(docs: DataFrame, held: int = 500_000) -> DataFrame:
+    """(word, c) of ``docs(text)``, words as bytes; a task holds about ``held`` words at once and passes their counts on."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out():
+            for k in range(0, len(found := list(counts.items())), 100_000):
+                part = found[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], ["word", "c"])
+            counts.clear()
+
+        counts = Counter()
+        for batch in batches:
+            for own in _words_of(batch, 0):
+                counts.update(own)
+                if len(counts) >= held:
+                    yield from out()
+        yield from out()
+
+    return map_batches(docs.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def _looked_up(docs: DataFrame, head: DataFrame) -> DataFrame:
+    """(doc_id, mark, size, known, logs, rare) by row of ``docs(doc_id, mark, text)``: number of words, of those in ``head(word, c)``, their log10(c + 1) in all, and the other words."""
+    got = head.toArrow()
+    logs_of = dict(zip(got.column("word").to_pylist(), np.log10(got.column("c").to_numpy() + 1.0).tolist()))
+    shared = docs.sparkSession.sparkContext.broadcast(logs_of)
+
+    def run(batches):
+        import pyarrow as pa
+
+        find = shared.value.get
+        for batch in batches:
+            sizes, knowns, logs, rare = [], [], [], []
+            for own in _words_of(batch, 2):
+                found = [find(w) for w in own]
+                others = [w for w, x in zip(own, found) if x is None]
+                sizes.append(len(own))
+                knowns.append(len(own) - len(others))
+                logs.append(sum(x for x in found if x is not None))
+                rare.append(others)
+            arrays = [pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()), pa.array(logs, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "mark", "size", "known", "logs", "rare"])
+
+    return map_batches(docs.select("doc_id", "mark", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, size long, known long, logs double, rare array<binary>")
+
+
 def word_scores(docs: DataFrame, training: DataFrame, tree: Tree) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, n_rows, n_tokens, known_words, logs) by text, and one row (train_rows, n, v) of the training tokens.
 
-    Words are counted where they are read. Those of the ``head`` most frequent
-    (a bounded list) are looked up in a broadcast; only the others, none of
-    them frequent, are joined by word.
+    Words are cut once to be counted and once to be looked up, where they are
+    read. Those of the ``head`` most frequent (a bounded list) are looked up in
+    a broadcast; only the others, none of them frequent, are joined by word.
     """
-    lowered = lambda df, *more: df.select(*more, F.explode(words(ascii_lower(F.coalesce("text", F.lit(""))))).alias("word"))
-    counts = materialize(lowered(training).groupBy("word").agg(F.count(F.lit(1)).alias("c")), "words")
+    counts = materialize(word_counts(training), "words")
     of = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("w"), F.count(F.lit(1)).alias("v"))
     totals = of.crossJoin(training.agg(F.count(F.lit(1)).alias("train_rows"))).select("train_rows", (F.col("w") + F.col("train_rows")).alias("n"), (F.col("v") + (F.col("train_rows") > 0).cast("long")).alias("v"))
-    head = materialize(counts.orderBy(F.desc("c"), "word").limit(tree.head), "head")
-    marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    tokens = lowered(marked, "doc_id", "mark")
-    log = F.log10(F.col("c") + 1)
-    frequent = tokens.join(F.broadcast(head), "word").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("known"), F.sum(log).alias("logs"))
-    rare = tokens.join(F.broadcast(head.select("word")), "word", "left_anti").join(counts, "word").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("known"), F.sum(log).alias("logs"))
-    sizes = marked.select("doc_id", "mark", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
+    head = counts.orderBy(F.desc("c"), "word").limit(tree.head)
+    looked = materialize(_looked_up(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), head), "looked")
+    frequent = looked.where("known > 0").groupBy("doc_id", "mark").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
+    rare = looked.select("doc_id", "mark", F.explode("rare").alias("word")).join(counts, "word").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
+    sizes = looked.select("doc_id", "mark", "size")
     sizes = sizes.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"))
     both = frequent.unionByName(rare).groupBy("doc_id", "mark").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
     same = (sizes.doc_id.eqNullSafe(both.doc_id)) & (sizes.mark == both.mark)
