@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,17 @@ def test_peer_clusters(spark):
     rows = catalogue.QUERIES["peer_clusters"](spark, DATA).collect()
     assert len(rows) == len({r["p_partkey"] for r in rows}) == catalogue.read(spark, DATA, "part").count()
     assert len({(r["cluster"], r["bidder"]) for r in rows}) == len(rows)
+
+
+def test_clusters_within(spark):
+    """Groups taken edge after edge, or by rounds, give the same clusters; a chain of ever better scores of 300 links included."""
+    draw = random.Random(8)
+    nodes = [(g, k + 1000 * n, draw.choice((None, *range(6)))) for n, g in enumerate(("a", None)) for k in range(80)]
+    edges = [(g, (x := draw.randrange(80)) + 1000 * n, draw.choice((draw.randrange(80) + 1000 * n, 999, None, x + 1000 * n)), draw.choice((0.5, 1.5, 2.5, None, float("nan")))) for n, g in enumerate(("a", None)) for _ in range(300)]
+    long = [("c", 5000 + k, k % 3) for k in range(300)], [("c", 5000 + k, 5001 + k, float(k)) for k in range(299)]
+    frame = lambda n, e: (spark.createDataFrame(n, "g string, id long, bidder int"), spark.createDataFrame(e, "g string, a long, b long, score double"))
+    n, e = frame(nodes, edges)
+    local, rounds = (sorted(map(tuple, clusters.clusters_within(n, e, "g", large=m).collect())) for m in (10_000, 5))
+    assert local == rounds and len(local) == 160 and len({c for _, c in local}) < 120
+    got = clusters.clusters_within(*frame(*long), "g").collect()
+    assert len(got) == 300 and max(Counter(r["cluster"] for r in got).values()) == 3
