@@ -28,3 +28,28 @@ def test_repeated_rows_of_a_query_and_a_record(spark):
     queries = spark.createDataFrame([(7, "red pipe"), (7, "green pipe"), (8, "green pipe"), (9, "RJ45"), (None, "red"), (10, " "), (11, None)], "query_id long, text string")
     got = sorted((r["query_id"], r["place"], r["record_id"], r["stage"], r["similarity"]) for r in advisor.keyword_search(queries, records).collect())
     assert got == [(7, 1, 1, 1, 1.0), (7, 2, 1, 1, 1.0), (8, 1, 1, 2, 0.5), (8, 2, 1, 2, 0.5), (8, 3, 2, 2, 0.5), (9, 1, 2, 0, 0.0)]
+
+
+def test_nearest_by_vector_of_all_pairs(spark):
+    """Against all pairs, with equal vectors, other lengths, zeros, nulls and no numbers, over several blocks; 40 million pairs in a minute."""
+    import math
+    import random
+
+    draw = random.Random(9)
+    vectors = [(k, [float(draw.randrange(-2, 3)) for _ in range(6)]) for k in range(300)] + [(300 + k, [1.0] * 6) for k in range(30)] + [(400, [1.0, 2.0]), (401, [0.0] * 6), (402, None), (403, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (404, [float("nan")] * 6)]
+    frame = lambda rows, i: spark.createDataFrame(rows, f"{i} long, vector array<double>")
+    asked = [v for v in vectors if v[0] % 9 == 0 or v[0] >= 400]
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b)), 0.0)
+    usable = lambda rows: [(i, v, math.sqrt(dot(v, v))) for i, v in rows if v and None not in v and any(v)]
+    for digits in (None, 2):
+        want = set()
+        for q, v, n in usable(asked):
+            found = [(i, dot(v, w) / (n * m) if len(v) == len(w) else None) for i, w, m in usable(vectors)]
+            place = lambda c: (2, 0) if c is None else (0, 0) if math.isnan(c) else (1, -(math.copysign(math.floor(abs(c) * 100 + 0.5), c) if digits else c))
+            want |= {(q, i, p) for p, (i, c) in enumerate(sorted(found, key=lambda x: (*place(x[1]), x[0]))[:7], 1)}
+        got = advisor.nearest_by_vector(frame(asked, "query_id"), frame(vectors, "record_id"), 7, block=20, digits=digits).collect()
+        have = {(r["query_id"], r["record_id"], r["place"]) for r in got}
+        assert have == want and len(got) == len(want), (digits, len(got), len(want), sorted(have - want)[:4], sorted(want - have)[:4])
+    wide = lambda n, i: spark.range(n).selectExpr(f"id as {i}", "transform(sequence(1, 64), k -> sin(id * k)) as vector")
+    began = time.time()
+    assert advisor.nearest_by_vector(wide(1_000, "query_id"), wide(40_000, "record_id")).count() == 4_995 and time.time() - began < 60
