@@ -23,6 +23,8 @@ HEADER_BONUS = ((r"stt|\btt\b", 8), (r"dien giai|noi dung cong viec|danh muc|han
 HEADER_LEAST, HEADER_ROWS, HEADER_DEPTH = 16, 60, 3
 FORMULA_ERROR = r"(?i)#(?:REF!|DIV/0!|VALUE!|NAME\?|N/A|NUM!|NULL!)"
 BLANK_RUN = 250
+#: Row numbers of a sheet that one task takes together.
+STRETCH = 32_768
 
 
 class Rule(NamedTuple):
@@ -177,21 +179,36 @@ def with_sections(rows: DataFrame, *sheet: str) -> DataFrame:
     """Adds section_path and section_codes: the open headings above a row, and for a component the detail it belongs to.
 
     A heading closes all deeper ones; headings and totals end the detail that
-    components belong to. One ordered pass a sheet.
+    components belong to. Sheets are taken in stretches of STRETCH row numbers;
+    what stands open before a stretch comes from a summary of those before it.
     """
-    before = Window.partitionBy(*sheet).orderBy("row_number").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda value, where: F.last(F.when(where, value), ignorenulls=True).over(before)
     row, level, kind = F.col("row_number"), F.col("level"), F.col("row_type")
+    code = F.coalesce(F.nullif(F.col("normalized_stt"), F.lit("")), normalize_code(F.col("item_code")))
+    detail = kind == "detail"
+    seen = {f"r{k}__": F.when(level == k, row) for k in range(6)} | {f"a{k}__": F.when(level < k, row) for k in range(1, 6)}
+    seen |= {f"n{k}__": F.when(level == k, F.col("item_name")) for k in range(6)} | {f"c{k}__": F.when(level == k, F.col("normalized_stt")) for k in range(6)}
+    seen |= {"rd__": F.when(detail, row), "rg__": F.when(kind.isin("group", "summary"), row), "nd__": F.when(detail, F.col("item_name")), "cd__": F.when(detail, code)}
+    own = [*sheet, "stretch__"]
+    cut = rows.withColumn("stretch__", F.floor(row / STRETCH))
+    ends = cut.groupBy(*own).agg(*[F.max(F.when(v.isNotNull(), F.struct(row.alias("row"), v.alias("v")))).alias(c) for c, v in seen.items()])
+    earlier = Window.partitionBy(*sheet).orderBy("stretch__").rowsBetween(Window.unboundedPreceding, -1)
+    open_before = ends.select(*[F.col(c).alias(f"{c}k") for c in own], *[F.last(F.col(c), ignorenulls=True).over(earlier)["v"].alias(f"{c}b") for c in seen])
+    same = F.lit(True)
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}k"))
+    held = cut.join(open_before, same, "left")
+    before = Window.partitionBy(*own).orderBy("row_number").rowsBetween(Window.unboundedPreceding, 0)
+    last = {c: F.coalesce(F.last(v, ignorenulls=True).over(before), F.col(f"{c}b")) for c, v in seen.items()}
+    last["a0__"] = F.lit(None)
     open_ = []
     for k in range(6):
-        alive = last(row, level == k) > F.coalesce(last(row, level < k), F.lit(-1))
-        open_.append(F.when(alive, F.struct(last(F.col("item_name"), level == k).alias("name"), last(F.col("normalized_stt"), level == k).alias("code"))))
-    within = last(row, kind == "detail") > F.coalesce(last(row, kind.isin("group", "summary")), F.lit(-1))
-    code = F.coalesce(F.nullif(F.col("normalized_stt"), F.lit("")), normalize_code(F.col("item_code")))
-    parent = F.when(within & (kind == "component"), F.struct(last(F.col("item_name"), kind == "detail").alias("name"), last(code, kind == "detail").alias("code")))
-    out = rows.withColumn("path__", F.array_compact(F.array(*open_, parent)))
+        alive = last[f"r{k}__"] > F.coalesce(last[f"a{k}__"], F.lit(-1))
+        open_.append(F.when(alive, F.struct(last[f"n{k}__"].alias("name"), last[f"c{k}__"].alias("code"))))
+    within = last["rd__"] > F.coalesce(last["rg__"], F.lit(-1))
+    parent = F.when(within & (kind == "component"), F.struct(last["nd__"].alias("name"), last["cd__"].alias("code")))
+    out = held.withColumn("path__", F.array_compact(F.array(*open_, parent)))
     part = lambda f: F.filter(F.transform("path__", lambda p: p[f]), lambda x: x != "")
-    return out.withColumns({"section_path": part("name"), "section_codes": part("code")}).drop("path__")
+    return out.withColumns({"section_path": part("name"), "section_codes": part("code")}).drop("path__", "stretch__", *[f"{c}k" for c in own], *[f"{c}b" for c in seen])
 
 
 def quality_flags(bid: Column, has_price: Column, has_amount: Column) -> Column:

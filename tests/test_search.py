@@ -53,3 +53,27 @@ def test_nearest_by_vector_of_all_pairs(spark):
     wide = lambda n, i: spark.range(n).selectExpr(f"id as {i}", "transform(sequence(1, 64), k -> sin(id * k)) as vector")
     began = time.time()
     assert advisor.nearest_by_vector(wide(1_000, "query_id"), wide(40_000, "record_id")).count() == 4_995 and time.time() - began < 60
+
+
+def test_sections_by_stretches(spark, monkeypatch):
+    """Headings and details stay open over stretches of a sheet, one without a name included."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import items
+
+    draw = random.Random(3)
+    kinds = [draw.choice(("group", "detail", "component", "component", "summary")) for _ in range(200)]
+    rows = [(draw.choice(("s", None)), k, t, draw.randrange(6) if t == "group" else None, draw.choice((f"N{k}", None)), f"{k}", "") for k, t in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "sheet string, row_number long, row_type string, level int, item_name string, normalized_stt string, item_code string")
+    found = {}
+    for n in (3, 50, 10_000):
+        monkeypatch.setattr(items, "STRETCH", n)
+        out = items.with_sections(df, "sheet")
+        assert out.columns == [*df.columns, "section_path", "section_codes"]
+        found[n] = sorted((r["row_number"], r["section_path"], r["section_codes"]) for r in out.collect())
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "stretch__" in plan
+    assert found[3] == found[50] == found[10_000] and len(found[3]) == 200 and max(len(p) for _, p, _ in found[3]) > 2
+    assert df.select(F.count("*")).first()[0] == 200
